@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, mixing, near_dedup, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_secrets": secrets.op4_secrets,
+    "op8_superminhash": near_dedup.op8_superminhash,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op8_superminhash": near_dedup.OP8_SQL,
 }
