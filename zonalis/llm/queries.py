@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, secrets
+from . import decontaminate, line_dedup, mixing, near_dedup, pages, quality, rules, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_quality": quality.op3_quality,
     "op4_secrets": secrets.op4_secrets,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_rules": rules.op6_rules,
+    "op7_html": pages.op7_html,
     "op8_superminhash": near_dedup.op8_superminhash,
+    "op9_revisits": warc.op9_revisits,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op8_superminhash": near_dedup.OP8_SQL,
+    "op9_revisits": warc.OP9_SQL,
 }
