@@ -44,25 +44,27 @@ class Voters:
         self.lists = lists
 
     @classmethod
-    def induced(cls, sets: list[list[str]], y: np.ndarray, most: int = 400) -> Voters:
+    def induced(cls, sets: list[list[str]], y: np.ndarray, weight: np.ndarray, most: int = 400) -> Voters:
         """Lists of the strongest parts by smoothed log-odds; each part goes to the list of its hash."""
         toxic, clean = Counter(), Counter()
-        for s, t in zip(sets, y, strict=True):
-            (toxic if t else clean).update(s)
-        n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-        odds = {p: np.log((c + 0.5) / (n1 + 1)) - np.log((clean[p] + 0.5) / (n0 + 1)) for p, c in toxic.items() if c >= 4}
+        for s, t, w in zip(sets, y, weight.tolist(), strict=True):
+            of = toxic if t else clean
+            for p in s:
+                of[p] += w
+        n1, n0 = float(weight @ y), float(weight @ (1 - y))
+        odds = {p: np.log((c + 0.5) / (n1 + 1)) - np.log((clean[p] + 0.5) / (n0 + 1)) for p, c in toxic.items() if c >= max(4, 0.01 * n1)}
         lists: list[set] = [set() for _ in range(N_WORD_LISTS + N_PREFIX_LISTS)]
         for starts, first, n in ((False, 0, N_WORD_LISTS), (True, N_WORD_LISTS, N_PREFIX_LISTS)):
-            found = sorted((p for p in odds if p.endswith("-") == starts and odds[p] > 2.0), key=lambda p: (-odds[p] * toxic[p] ** 0.5, p))
+            found = sorted((p for p in odds if p.endswith("-") == starts and odds[p] > 2.5), key=lambda p: (-odds[p] * toxic[p] ** 0.5, p))
             for p in found[:most]:
                 lists[first + zlib.crc32(p.encode()) % n].add(p)
         return cls([frozenset(x) for x in lists])
 
-    def votes(self, text: str, seen: list[str]) -> list[int]:
+    def votes(self, seen: list[str]) -> list[int]:
+        """One vote of each list, and one on whether any hit."""
         have = set(seen)
         hits = [len(x & have) for x in self.lists]
-        lexicon = [int(h > 0) for h in hits]
-        return [*lexicon, 1 if sum(hits) > 1 else -1 if not sum(hits) else 0, int(bool(INSULT.search(text))), int(bool(SHOUT.search(text)))]
+        return [*(int(h > 0) for h in hits), 1 if sum(hits) > 1 else -1 if not sum(hits) else 0]
 
 
 def label_model(votes: np.ndarray, prior: float, steps: int = 50) -> np.ndarray:
@@ -98,20 +100,21 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 50) -> np.ndarray:
     return post
 
 
-def fit_linear(sets: list[list[str]], target: np.ndarray, most: int = 6000, epochs: int = 60, rate: float = 0.5) -> tuple[dict[str, float], float]:
-    """Logistic regression on the parts that tell the targets apart; returns weights and intercept.
+def fit_linear(sets: list[list[str]], target: np.ndarray, weight: np.ndarray, most: int = 6000, epochs: int = 60, rate: float = 0.5) -> tuple[dict[str, float], float]:
+    """Logistic regression on the parts that speak for the positive class; returns weights and intercept.
 
-    Parts that are no more frequent in one class than chance allows get no weight, so that long
-    clean texts do not add up noise.
+    Only parts that are several times as frequent there, beyond chance, get a weight, and none below
+    zero: long clean texts do not add up noise, and clean words do not excuse toxic ones.
     """
     n, mass = Counter(), Counter()
-    for s, t in zip(sets, target.tolist(), strict=True):
-        n.update(s)
+    for s, t, u in zip(sets, target.tolist(), weight.tolist(), strict=True):
         for p in s:
-            mass[p] += t
-    mean = float(target.mean()) if len(target) else 0.0
-    z = {p: (mass[p] - c * mean) / (c * mean * (1 - mean) + 1e-9) ** 0.5 for p, c in n.items() if c >= 4}
-    chosen = sorted((p for p in z if abs(z[p]) > 6), key=lambda p: (-abs(z[p]), p))[:most]
+            n[p] += u
+            mass[p] += u * t
+    mean = float(np.average(target, weights=weight)) if len(target) else 0.0
+    least = max(4.0, 0.01 * float(weight @ target))
+    z = {p: (mass[p] - c * mean) / (c * mean * (1 - mean) + 1e-9) ** 0.5 for p, c in n.items() if mass[p] >= least and mass[p] > 0.5 * c}
+    chosen = sorted((p for p in z if z[p] > 5), key=lambda p: (-z[p], p))[:most]
     number = {p: i for i, p in enumerate(chosen)}
     rows, cols = [], []
     for i, s in enumerate(sets):
@@ -121,15 +124,32 @@ def fit_linear(sets: list[list[str]], target: np.ndarray, most: int = 6000, epoc
                 cols.append(number[p])
     rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
     w, b = np.zeros(len(chosen)), float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
-    seen = np.bincount(cols, minlength=len(chosen)) + 1.0
+    seen = np.bincount(cols, weights=weight[rows], minlength=len(chosen)) + 1.0
     for _ in range(epochs):  # full-batch steps, each part scaled by how often it stands
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, weights=w[cols], minlength=len(sets)), -30, 30)))
-        g = target - p
+        g = (target - p) * weight
         w += rate * (np.bincount(cols, weights=g[rows], minlength=len(chosen)) / seen * 4 - 0.01 * w)
+        w = np.maximum(w, 0)
         b += rate * float(g.mean()) * 4
     return {p: float(w[i]) for p, i in number.items()}, b
 
 
+#: Longest lines of a text by which copies are told.
+N_LINES = 5
+
+
+def signs(text: str) -> list[int]:
+    """Two pattern votes, and hashes of the longest lines."""
+    lines = [zlib.crc32(x.encode()) >> 1 for x in sorted(set(text.split("\n")), key=lambda x: (-len(x), x))[:N_LINES]]
+    return [int(bool(INSULT.search(text))), int(bool(SHOUT.search(text))), *lines, *[0] * (N_LINES - len(lines))]
+
+
+def copy_weights(lines: np.ndarray) -> np.ndarray:
+    """One over the most rows with which a row shares a long line: a group of copies counts about once."""
+    shared = Counter(lines[lines > 0].tolist())
+    return np.array([1.0 / max([1, *(shared[x] for x in row if x)]) for row in lines.tolist()])
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
     """(text, label) of at most max_train labelled ids whose crc32 is not divisible by 5."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
@@ -143,19 +163,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> tuple[di
     def distinct_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            patterns = [[int(bool(INSULT.search(t))), int(bool(SHOUT.search(t)))] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array([sorted(parts(t)) for t in texts], pa.list_(pa.string())),
-                                              pa.array(patterns, pa.list_(pa.int32()))], names=["doc_id", "label", "parts", "patterns"])
+                                              pa.array([signs(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "label", "parts", "signs"])
 
-    got = learning_rows(docs, labels, max_train).mapInArrow(distinct_parts, "doc_id bigint, label int, parts array<string>, patterns array<int>").toArrow()
+    got = learning_rows(docs, labels, max_train).mapInArrow(distinct_parts, "doc_id bigint, label int, parts array<string>, signs array<int>").toArrow()
     got = got.sort_by([("doc_id", "ascending")])
     y = np.array([int(v > 0) for v in got["label"].to_pylist()])
     if len(set(y.tolist())) < 2:
         return {}, -3.0
-    sets, patterns = got["parts"].to_pylist(), got["patterns"].to_pylist()
-    voters = Voters.induced(sets, y)
-    votes = np.array([voters.votes("", s)[:-2] + p for s, p in zip(sets, patterns, strict=True)])
-    return fit_linear(sets, label_model(votes, float(y.mean())))
+    sets, seen = got["parts"].to_pylist(), np.array(got["signs"].to_pylist())
+    weight = copy_weights(seen[:, 2:])
+    voters = Voters.induced(sets, y, weight)
+    votes = np.array([[*voters.votes(s), *p] for s, p in zip(sets, seen[:, :2].tolist(), strict=True)])
+    return fit_linear(sets, label_model(votes, float(np.average(y, weights=weight))), weight)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> DataFrame:
