@@ -2,9 +2,10 @@
 
 Copies with one and the same shingle set collapse first, so a hot group of copies is one
 representative from then on. Representatives that share a band are candidates. Each is first
-verified against the smallest one it shares most bands with; what that connects needs no further
+verified against the most central one that it shares most bands with; what that connects needs no further
 test, so a large group of near copies costs one test for each member. The candidates that are
-still in different components are then all verified: no link between different texts is given up.
+still in different components are then verified, but for documents that have too many shingles of
+their own to be similar to any of them: no link between different texts is given up.
 Bands are rows of 6 out of 252 values: at a similarity of 0.8 a pair shares none of the 42 bands
 with a probability of 3 in a million, at 0.85 of 6 in a thousand million.
 """
@@ -16,7 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, load, stored
 from .graph import connected_components
-from .shingles import linked_batches, signature_batches
+from .shingles import gram_batches, linked_batches, signature_batches
+
+
+#: Buckets with more unconnected documents than this are looked at closely before pairs are made; results do not depend on it.
+CROWD = 8
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
@@ -37,12 +42,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     one = made.where("n_shingles > 0").withColumnRenamed("doc_id", "rep").join(sets, ["key1", "key2", "n_shingles", "rep"])
     banded = one.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     w = Window.partitionBy("band")
-    shared = banded.withColumns({"leader": F.min("rep").over(w), "most": F.max("rep").over(w)}).where("leader <> most")
-    shared = stored(shared.select("band", "rep", "n", "leader").distinct())
-
-    # First the one leader with which a document shares most bands.
-    votes = shared.where("rep <> leader").groupBy("rep", "leader").count()
-    first = votes.groupBy("rep").agg(F.max(F.struct("count", (-F.col("leader")).alias("l"))).alias("x"))
+    shared = banded.withColumn("met", F.count(F.lit(1)).over(w)).where("met > 1")
+    shared = stored(shared.select("band", "rep", "n", "met"))
+
+    # First one leader for each document: of those it shares bands with, the one that meets most others.
+    hub = shared.groupBy("rep").agg(F.sum("met").alias("hub"))
+    led = shared.join(hub, "rep").withColumn("lead", F.max(F.struct("hub", (-F.col("rep")).alias("l"))).over(w))
+    votes = led.where(F.col("lead.l") != -F.col("rep")).groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("count"))
+    first = votes.groupBy("rep").agg(F.max(F.struct("count", "lead.hub", "lead.l")).alias("x"))
     first = first.select(F.col("rep").alias("b"), (-F.col("x.l")).alias("a"))
     links = cut(verified(first, docs, words, percent))
     component = connected_components(links, "a", "b")
@@ -51,10 +58,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     named = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
         "band", "rep", "n", F.coalesce("component", "rep").alias("c"))
     mixed = named.withColumns({"c_lo": F.min("c").over(w), "c_hi": F.max("c").over(w)}).where("c_lo <> c_hi").select("band", "rep", "n", "c")
-    other = mixed.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    rest = (mixed.withColumnRenamed("rep", "a").join(other, "band")
-            .where((F.col("c") < F.col("c_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent))
-            .select("a", "b").distinct())
+    mixed = stored(mixed.withColumn("crowd", F.count(F.lit(1)).over(w)))
+    hot = mixed.where(F.col("crowd") > CROWD).select("rep").distinct()
+    own = alone(hot, docs, words)
+    # own_a shingles of a stand in no other document of a crowded bucket, so they count on one side of
+    # a union and never in an intersection; pairs that cannot be similar for that reason are not made.
+    mixed = mixed.join(own, "rep", "left").select("band", F.col("rep").alias("a"), "n", "c", F.when(F.col("crowd") > CROWD, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
+    mixed = mixed.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    other = mixed.toDF("band_b", "b", "n_b", "c_b", "own_b")
+    can = ((F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
+           & ((F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("own_b")) * percent)
+           & ((F.col("n_b") - F.col("own_b")) * 100 >= (F.col("n_b") + F.col("own")) * percent))
+    rest = mixed.join(other, (F.col("band") == F.col("band_b")) & (F.col("c") < F.col("c_b")) & can).select("a", "b").distinct()
     tested = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = cut(verified(cut(rest.join(tested, ["a", "b"], "left_anti")), docs, words, percent))
     if not more.isEmpty():
@@ -75,6 +90,17 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(linked_batches(words, percent), "a bigint, b bigint").distinct()
 
 
+def alone(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(rep, own): how many shingles of a document stand in no other of these documents.
+
+    More than a share of 1 - similarity of them, and none of the others can be similar enough:
+    that settles edited copies that are all a little too far from each other, without pairing them.
+    """
+    text = docs.withColumnRenamed("doc_id", "rep").where("text is not null").join(reps, "rep", "left_semi")
+    grams = text.mapInArrow(gram_batches(words), "rep bigint, gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("rep"))
+    return grams.where("df = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are linked with a smaller doc_id, columns unchanged."""
     gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct()

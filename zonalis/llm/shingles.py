@@ -169,6 +169,20 @@ def signature_batches(words: int, bands: int, rows: int):
     return run
 
 
+def gram_batches(words: int):
+    """For mapInArrow over (rep, text): one row for each distinct shingle of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = shingle_sets(_bytes(part.column("text")), words)
+                reps = np.repeat(part.column("rep").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "gram"])
+
+    return run
+
+
 def linked_batches(words: int, percent: int):
     """For mapInArrow over (a, b, text_a, text_b): the pairs whose full sets are similar enough."""
 
