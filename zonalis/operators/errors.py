@@ -38,13 +38,13 @@ def sigma_grid(residuals: DataFrame, grid: DataFrame, keys: list[str], floor: fl
 def sigma_mle(residuals: DataFrame, keys: list[str], points: int = 400, passes: int = 3, floor: float = 1e-6, **likelihood) -> DataFrame:
     """Variance of least weighted mean NLL: zero and a geometric grid from 1e-8, then narrower grids around the best point."""
     top = residuals.groupBy(*keys).agg(F.greatest(10 * F.max(F.col("r") ** 2), 10 * F.max(F.col("gp_var") + F.col("obs_var")), F.lit(1e-3)).alias("hi"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(points)))
-    grid = top.select(*keys, "hi", k.alias("k")).withColumn("s2", F.when(F.col("k") == 0, 0.0).otherwise(F.exp(math.log(1e-8) + (F.log("hi") - math.log(1e-8)) * (F.col("k") - 1) / (points - 1))))
+    point = F.explode(F.sequence(F.lit(0), F.lit(points)))
+    grid = top.select(*keys, "hi", point.alias("_i")).withColumn("s2", F.when(F.col("_i") == 0, 0.0).otherwise(F.exp(math.log(1e-8) + (F.log("hi") - math.log(1e-8)) * (F.col("_i") - 1) / (points - 1))))
     best = sigma_grid(residuals, grid.select(*keys, "s2"), keys, floor, **likelihood)
     ratio = top.select(*keys, ((F.log("hi") - math.log(1e-8)) / (points - 1)).alias("step"))
     for p in range(passes - 1):
-        near = best.join(ratio, keys).select(*keys, F.col("s2").alias("at"), (F.col("step") / 20.0 ** p).alias("step"), F.explode(F.sequence(F.lit(-20), F.lit(20))).alias("k"))
-        near = near.select(*keys, (F.col("at") * F.exp(F.col("step") * F.col("k") / 20)).alias("s2")).distinct()
+        near = best.join(ratio, keys).select(*keys, F.col("s2").alias("at"), (F.col("step") / 20.0 ** p).alias("step"), F.explode(F.sequence(F.lit(-20), F.lit(20))).alias("_i"))
+        near = near.select(*keys, (F.col("at") * F.exp(F.col("step") * F.col("_i") / 20)).alias("s2")).distinct()
         best = sigma_grid(residuals, near, keys, floor, **likelihood)
     return best
 
