@@ -45,7 +45,8 @@ def fit_budget(counts: dict[int, int], budget: int, dp_words: int = 4096) -> dic
     if budget <= 0 or total <= 0:
         return {}
     budget = min(budget, total)
-    take = {n: c * budget // total for n, c in counts.items()}
+    # One document of each length is held back, so that the last words have something to be made of.
+    take = {n: max(0, c * budget // total - 1) for n, c in counts.items()}
     rest = budget - sum(n * c for n, c in take.items())
     order = sorted((n for n in counts if n > 0), reverse=True)
     for n in order:
