@@ -11,17 +11,20 @@ from .common import cut
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """One row (node, component) for each node with an edge; component is the smallest node id reachable.
 
-    Each round points every node at its smallest neighbour, follows the pointers twice and
-    contracts the edges, so chains shrink by half or better; a round reads and writes only
-    what is still unsettled. Null ends and loops are ignored; an empty input gives no rows.
+    Each round points every node at the neighbour (or itself) that comes first in an order drawn anew by
+    hash, follows the pointers once more and contracts the edges, so chains shrink by a constant share
+    whatever their ids; a round reads and writes only what is still unsettled. The smallest id of each
+    contracted group is found at the end. Null ends and loops are ignored; an empty input gives no rows.
     """
     e = (edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
          .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     e = cut(e)
-    labels = None
+    labels, turn = None, 0
     while not e.isEmpty():
+        turn += 1
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p"))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        parent = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), "m")["id"].alias("p"))
         up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
         parent = cut(parent.join(up, "p").select("node", F.col("pp").alias("p")))
         if labels is None:
@@ -34,4 +37,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
                 .select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct())
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    least = labels.groupBy("component").agg(F.min("node").alias("least"), F.min("component").alias("c"))
+    return labels.join(least.select("component", F.least("least", "c").alias("to")), "component").select("node", F.col("to").alias("component"))
