@@ -81,6 +81,36 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, rows).where("false")).count() == 0
 
 
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_finds_edited_lines(spark):
+    rng, lines = np.random.default_rng(8), []
+    for k in range(24):
+        base = prose(500 + k, int(rng.integers(4, 70))).split()
+        for j in range(3):
+            w = list(base)
+            for p in rng.choice(len(w), max(1, len(w) * j // 10), replace=False) if j else ():
+                w[p] = f"{w[p][:2]}{WORDS[rng.integers(24)][:3]}"
+            lines.append(" ".join(w))
+    groups = line_dedup.line_groups(table(spark, [(i, x, "a") for i, x in enumerate(lines)]))
+    keys = spark.createDataFrame(list(enumerate(lines)), "at long, line string").withColumn("key", F.xxhash64("line"))
+    of = {r["at"]: r["component"] for r in keys.join(groups, "key").collect()}
+    root = list(range(len(lines)))
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        if a // 3 == b // 3 and 5 * edits(lines[a], lines[b]) <= max(len(lines[a]), len(lines[b])):
+            root = [root[a] if x == root[b] else x for x in root]
+    want = {i for i in range(len(lines)) if root.count(root[i]) > 1}
+    assert len(want) > 60 and set(of) == want
+    assert all((of[a] == of[b]) == (root[a] == root[b]) for a, b in itertools.combinations(sorted(want), 2))
+
+
 def brute_components(texts: dict[int, str], n: int, percent: int) -> dict[int, int]:
     sets = {}
     for i, t in texts.items():
