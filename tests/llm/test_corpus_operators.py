@@ -111,6 +111,15 @@ def test_line_dedup_finds_edited_lines(spark):
     assert all((of[a] == of[b]) == (root[a] == root[b]) for a, b in itertools.combinations(sorted(want), 2))
 
 
+def test_line_dedup_of_short_and_unspaced_lines(spark):
+    rng = np.random.default_rng(9)
+    long = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 200))
+    near = long[:50] + "\u8000" + long[51:120] + long[122:]
+    rows = [(1, f"Read more\n{long}\n日本語の短い行\n\n----------", "a"), (2, f"read MORE!\n{near}\n日本語の短い行\n\n----------", "a"), (3, "read less", "a")]
+    gone = {r["doc_id"]: list(r["gone"]) for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert gone == {1: [], 2: [0, 1, 2, 4], 3: []}
+
+
 def brute_components(texts: dict[int, str], n: int, percent: int) -> dict[int, int]:
     sets = {}
     for i, t in texts.items():
