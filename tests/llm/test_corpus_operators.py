@@ -281,6 +281,14 @@ def test_pages(spark):
     assert pages.extract_text(df.where("false")).count() == 0
 
 
+def test_class_words_do_not_remove_what_holds_the_article():
+    kept = lambda html: [b[4] for b in pages.parse(html)[0] if not b[1]]
+    assert kept('<div class="with-sidebar"><article><p>Body</p><div class="share">No</div></article></div>') == ["Body"]
+    assert kept('<div class="page share"><h1>Title</h1><p>Body</p></div><nav>No</nav>') == ["Title", "Body"]
+    assert kept('<article>Body</article><div id="comments"><article>Nice!</article></div>') == ["Body"]
+    assert kept('<p>Body</p><div class="related">No</div>') == ["Body"]
+
+
 def test_revisits(spark):
     rows = [("a1", "response", "http://H.example:80/p/?b=1&a=2", 100, '"x"', "d1", {"etag": '"x"', "content-type": "t"}), ("a2", "response", "http://h.example/p?a=2&b=1", 300, '"y"', "d2", {"etag": '"y"'}),
             ("r1", "revisit", "http://h.example/p?a=2&b=1#f", 200, 'W/"x"', None, {"date": "now", "content-type": "no"}), ("r2", "revisit", "http://h.example/p?a=2&b=1", 100, '"x"', None, {}),
