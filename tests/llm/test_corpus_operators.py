@@ -289,6 +289,13 @@ def test_class_words_do_not_remove_what_holds_the_article():
     assert kept('<p>Body</p><div class="related">No</div>') == ["Body"]
 
 
+def test_pages_keeps_copies_of_one_article(spark):
+    page = lambda body, foot: f"<html><body><div>Site name</div><article><h1>{body}</h1><p>Text of {body}</p></article><div>{foot}</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page("One", i % 3)) for i in range(9)] + [(20, "http://h.example/20", page("One", 0))] * 3 + [(30 + i, f"http://h.example/{30 + i}", page(f"Other {i}", 0)) for i in range(3)]
+    got = pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 15 and all(r["text"] == ("One Text of One" if r["page_id"] < 30 else f"Other {r['page_id'] - 30} Text of Other {r['page_id'] - 30}") for r in got)
+
+
 def test_revisits(spark):
     rows = [("a1", "response", "http://H.example:80/p/?b=1&a=2", 100, '"x"', "d1", {"etag": '"x"', "content-type": "t"}), ("a2", "response", "http://h.example/p?a=2&b=1", 300, '"y"', "d2", {"etag": '"y"'}),
             ("r1", "revisit", "http://h.example/p?a=2&b=1#f", 200, 'W/"x"', None, {"date": "now", "content-type": "no"}), ("r2", "revisit", "http://h.example/p?a=2&b=1", 100, '"x"', None, {}),
