@@ -169,3 +169,12 @@ def test_fold_sizes_do_not_depend_on_partitions(spark):
     one = {r["member"]: r["fold"] for r in splits.kfold_assign(m.repartition(1), 3, 2).collect()}
     many = {r["member"]: r["fold"] for r in splits.kfold_assign(m.repartition(5), 3, 2).collect()}
     assert one == many and sorted(list(one.values()).count(k) for k in range(3)) == [2, 2, 3]
+
+
+def test_starts_feasible_draws_until_each_start_has_a_point(spark):
+    ids = spark.range(300).select(F.col("id").alias("start_idx"))
+    got = search.starts_feasible(ids, [(0.0, 10.0), (0.0, 1.0)], (0, 1), 7).collect()  # one draw in 20 keeps the order
+    assert sorted(r["start_idx"] for r in got) == list(range(300)) and max(r["draw"] for r in got) >= 16
+    assert all(r["x"][0] <= r["x"][1] for r in got)
+    with pytest.raises(ValueError):
+        search.starts_feasible(ids, [(2.0, 3.0), (0.0, 1.0)], (0, 1), 7)
