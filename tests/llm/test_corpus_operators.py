@@ -100,8 +100,8 @@ def test_line_dedup_finds_edited_lines(spark):
                 w[p] = f"{w[p][:2]}{WORDS[rng.integers(24)][:3]}"
             lines.append(" ".join(w))
     groups = line_dedup.line_groups(table(spark, [(i, x, "a") for i, x in enumerate(lines)]))
-    keys = spark.createDataFrame(list(enumerate(lines)), "at long, line string").withColumn("key", F.xxhash64("line"))
-    of = {r["at"]: r["component"] for r in keys.join(groups, "key").collect()}
+    keys = line_dedup.split_lines(spark.createDataFrame(list(enumerate(lines)), "nr long, text string"), F.col("nr"))
+    of = {r["nr"]: r["component"] for r in keys.join(groups, ["r1", "r2"]).collect()}
     root = list(range(len(lines)))
     for a, b in itertools.combinations(range(len(lines)), 2):
         if a // 3 == b // 3 and 5 * edits(lines[a], lines[b]) <= max(len(lines[a]), len(lines[b])):

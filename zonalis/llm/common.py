@@ -59,6 +59,13 @@ def fits_broadcast(df: DataFrame, bytes_each: Column, limit_mb: float) -> bool:
     return total <= limit_mb * 1e6
 
 
-def with_results(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds result columns; an input column of the same name gives way."""
-    return df.withColumns(columns)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have: the given ones, with underscores where they are taken."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
