@@ -158,6 +158,29 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [0, 1 << 40])
+def test_near_duplicates_whatever_counts_as_a_crowd(spark, crowd):
+    """Edited copies around the limit of similarity, ids that stand on several texts, and one of them empty."""
+    base, rng, rows = prose(700, 150).split(), np.random.default_rng(3), []
+    for i in range(40):
+        w = list(base)
+        for p in rng.choice(150, int(rng.integers(0, 12)), replace=False):
+            w[p] = f"edit{rng.integers(3)}"
+        rows.append((i, " ".join(w[: 150 - int(rng.integers(0, 12))]), "a"))
+    rows += [(90, prose(701, 50), "a"), (80, prose(701, 50), "a"), (90, rows[5][1], "a"), (80, prose(702, 40), "a"), (95, "", "a"), (95, prose(702, 40), "a"), (80, prose(701, 50), "a")]
+    got = near_dedup.near_duplicates(table(spark, rows), words=4, crowd=crowd).collect()
+    nodes = brute_components(dict(enumerate(t for _, t, _ in rows)), 4, 80)
+    root = {i: i for i, _, _ in rows}
+
+    def join(x, y):
+        old, new = max(root[x], root[y]), min(root[x], root[y])
+        root.update({i: new for i, r in root.items() if r == old})
+
+    for k, r in nodes.items():
+        join(rows[k][0], rows[r][0])
+    assert {r["doc_id"]: r["component_id"] for r in got} == root and len(got) == len(rows)
+
+
 def test_super_min_hash_estimates_and_is_order_free():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 900, dtype=np.uint64)

@@ -1,13 +1,14 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full sets, grouping.
 
-Copies with one and the same shingle set collapse first, so a hot group of copies is one
-representative from then on. Representatives that share a band are candidates. Each is first
-verified against the most central one that it shares most bands with; what that connects needs no further
-test, so a large group of near copies costs one test for each member. The candidates that are
-still in different components are then verified, but for documents that have too many shingles of
-their own to be similar to any of them: no link between different texts is given up.
-Bands are rows of 6 out of 252 values: at a similarity of 0.8 a pair shares none of the 42 bands
-with a probability of 3 in a million, at 0.85 of 6 in a thousand million.
+Texts with one and the same shingle set collapse first, so a hot group of copies is one set from then
+on. Sets that share a band are candidates. Each is first verified against one leader, the most central
+of those that it shares most bands with; what that connects needs no further test, so a large group of
+near copies costs one test for each member. Sets that are still in different components are then
+paired, but for those of crowded bands that cannot be similar: a set knows how many shingles no
+other one has, how many of its leader's it lacks, and how many of its own that the leader lacks stand in
+another set of the same leader. No link between different texts is given up for that.
+Bands are rows of 8 out of 504 values: at a similarity of 0.8 a pair shares none of the 63 bands
+with a probability of 9 in a million, at 0.85 of 1 in a hundred million.
 """
 
 from __future__ import annotations
@@ -15,90 +16,131 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, load, stored
+from .common import cut, fits_broadcast, load, stored
 from .graph import connected_components
-from .shingles import gram_batches, linked_batches, signature_batches
+from .shingles import gram_batches, overlap_batches, signature_batches
 
-
-#: Buckets with more unconnected documents than this are looked at closely before pairs are made; results do not depend on it.
+#: Bands with more unconnected sets than this are looked at closely before pairs are made; results do not depend on it.
 CROWD = 8
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 63, rows: int = 8, crowd: int = CROWD, broadcast_mb: float = 32) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Documents are linked when their sets of word shingles have a Jaccard similarity of percent/100
     or more; component_id is the smallest doc_id reachable over links, itself included; kept marks it.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that share a
-    doc_id are one node. Rows without a doc_id still count their shingles, but are linked with
-    nothing and kept, their component being null. An empty table gives no rows.
+    doc_id are one node, whatever their texts. Rows without a doc_id still count their shingles, but are
+    linked with nothing and kept, their component being null. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
-    made = docs.mapInArrow(signature_batches(words, bands, rows),
-                           "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, bands array<bigint>")
-    made = stored(made)
-    sets = made.where("n_shingles > 0 and doc_id is not null").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    one = made.where("n_shingles > 0").withColumnRenamed("doc_id", "rep").join(sets, ["key1", "key2", "n_shingles", "rep"])
-    banded = one.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    made = stored(docs.mapInArrow(signature_batches(words, bands, rows), "doc_id bigint, hash bigint, n_shingles bigint, key1 bigint, key2 bigint, bands array<bigint>"))
+    key = ["key1", "key2", "n_shingles"]
+    full = made.where("n_shingles > 0 and doc_id is not null")
+    sets = full.groupBy(*key).agg(F.min(F.struct("doc_id", "hash")).alias("rep"))
+    sets = stored(sets.select(F.monotonically_increasing_id().alias("set"), F.col("rep.doc_id").alias("rep"), F.col("rep.hash").alias("hash"), *key))
+
+    def hinted(df: DataFrame) -> DataFrame:
+        """Broadcast if it is small: every table here has a few numbers in a row."""
+        return F.broadcast(df) if fits_broadcast(df, F.lit(16 * len(df.columns)), broadcast_mb) else df
+
+    one = full.join(hinted(sets.select("set", F.col("rep").alias("doc_id"), "hash", *key)), ["doc_id", "hash", *key]).dropDuplicates(["set"])
     w = Window.partitionBy("band")
-    shared = banded.withColumn("met", F.count(F.lit(1)).over(w)).where("met > 1")
-    shared = stored(shared.select("band", "rep", "n", "met"))
-
-    # First one leader for each document: of those it shares bands with, the one that meets most others.
-    hub = shared.groupBy("rep").agg(F.sum("met").alias("hub"))
-    led = shared.join(hub, "rep").withColumn("lead", F.max(F.struct("hub", (-F.col("rep")).alias("l"))).over(w))
-    votes = led.where(F.col("lead.l") != -F.col("rep")).groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("count"))
-    first = votes.groupBy("rep").agg(F.max(F.struct("count", "lead.hub", "lead.l")).alias("x"))
-    first = first.select(F.col("rep").alias("b"), (-F.col("x.l")).alias("a"))
-    links = cut(verified(first, docs, words, percent))
-    component = connected_components(links, "a", "b")
-
-    # Then every candidate pair that is not connected yet and whose sizes allow a link.
-    named = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = named.withColumns({"c_lo": F.min("c").over(w), "c_hi": F.max("c").over(w)}).where("c_lo <> c_hi").select("band", "rep", "n", "c")
+    shared = one.select("set", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
+    shared = stored(shared.withColumn("met", F.count(F.lit(1)).over(w)).where("met > 1"))
+
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        """(a, b, n_a, n_b, both): the sizes of two sets and of what they have in common, from the texts."""
+        at = sets.select("set", F.col("rep").alias("doc_id"), "hash")
+        left = cut(at.withColumnRenamed("set", "a").join(pairs.select("a").distinct(), "a"))
+        right = cut(at.withColumnRenamed("set", "b").join(pairs.select("a", "b"), "b"))
+        left = docs.join(hinted(left), ["doc_id", "hash"]).select("a", F.col("text").alias("text_a"))
+        right = docs.join(hinted(right), ["doc_id", "hash"]).select("a", "b", F.col("text").alias("text_b"))
+        return cut(right.join(left, "a").mapInArrow(overlap_batches(words), "a bigint, b bigint, n_a int, n_b int, both int").distinct())
+
+    similar = F.col("both") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+
+    # One leader for each set: of those it shares bands with, the one that meets most others.
+    hub = shared.groupBy("set").agg(F.sum("met").alias("hub"))
+    led = shared.join(hub, "set").withColumn("lead", F.max(F.struct("hub", (-F.col("set")).alias("l"))).over(w))
+    votes = led.where(F.col("lead.l") != -F.col("set")).groupBy("set", "lead").agg(F.count(F.lit(1)).alias("count"))
+    first = votes.groupBy("set").agg(F.max(F.struct("count", "lead.hub", "lead.l")).alias("x"))
+    tested = overlaps(cut(first.select(F.col("set").alias("b"), (-F.col("x.l")).alias("a"))))
+    links = tested.where(similar).select("a", "b")
+
+    # Sets of one doc_id are one node.
+    several = full.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("doc_id")
+    several = full.join(several, "doc_id").join(sets.drop("hash"), key).select("doc_id", "set").distinct()
+    several = several.join(several.groupBy("doc_id").agg(F.min("set").alias("a")), "doc_id").where("a <> set").select("a", F.col("set").alias("b"))
+    component = connected_components(links.unionByName(several), "a", "b")
+
+    # Then every candidate pair that is not connected yet and that can be similar.
+    named = shared.join(component.withColumnRenamed("node", "set"), "set", "left").select("band", "set", "n", F.coalesce("component", "set").alias("c"))
+    mixed = named.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").select("band", "set", "n", "c")
     mixed = stored(mixed.withColumn("crowd", F.count(F.lit(1)).over(w)))
-    hot = mixed.where(F.col("crowd") > CROWD).select("rep").distinct()
-    own = alone(hot, docs, words)
-    # own_a shingles of a stand in no other document of a crowded bucket, so they count on one side of
-    # a union and never in an intersection; pairs that cannot be similar for that reason are not made.
-    mixed = mixed.join(own, "rep", "left").select("band", F.col("rep").alias("a"), "n", "c", F.when(F.col("crowd") > CROWD, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
-    mixed = mixed.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
-    other = mixed.toDF("band_b", "b", "n_b", "c_b", "own_b")
-    can = ((F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
-           & ((F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("own_b")) * percent)
-           & ((F.col("n_b") - F.col("own_b")) * 100 >= (F.col("n_b") + F.col("own")) * percent))
-    rest = mixed.join(other, (F.col("band") == F.col("band_b")) & (F.col("c") < F.col("c_b")) & can).select("a", "b").distinct()
-    tested = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = cut(verified(cut(rest.join(tested, ["a", "b"], "left_anti")), docs, words, percent))
+    size = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
+    few = mixed.where(F.col("crowd") <= crowd).select("band", F.col("set").alias("a"), "n", "c")
+    cold = few.join(few.toDF("band", "b", "n2", "c2"), "band").where((F.col("c") < F.col("c2")) & size).select("a", "b")
+    cold = cold.join(cold_tested(tested), ["a", "b"], "left_anti")
+
+    many = mixed.where(F.col("crowd") > crowd)
+    facts = known(many.select("set", "n", "c").distinct(), tested, sets, docs, hinted, words)
+    # Not enough left without the shingles that no other has: similar to none.
+    facts = stored(facts.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent))
+    side = {c: f"{c}2" for c in facts.columns if c != "lead"}
+    alone = (((F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("own2")) * percent) & ((F.col("n2") - F.col("own2")) * 100 >= (F.col("n2") + F.col("own")) * percent))
+    # Of one leader: what both have of it, and what they have besides in common, at most.
+    most = F.col("n_lead") - F.greatest("lacks", "lacks2") + F.least("extra", "extra2")
+    bound = (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
+    together = facts.join(facts.withColumnsRenamed(side), "lead").where((F.col("c") < F.col("c2")) & size & alone & bound).select(F.col("set").alias("a"), F.col("set2").alias("b"))
+    at = many.select("band", "set").join(facts, "set").select("band", "set", "n", "c", "lead", "own")
+    at = at.withColumns({"l1": F.min("lead").over(w), "l2": F.max("lead").over(w)}).where("l1 <> l2").drop("l1", "l2")
+    apart = at.join(at.withColumnsRenamed({c: f"{c}2" for c in at.columns if c != "band"}), "band")
+    apart = apart.where((F.col("c") < F.col("c2")) & (F.col("lead") != F.col("lead2")) & size & alone).select(F.col("set").alias("a"), F.col("set2").alias("b"))
+    rest = cold.unionByName(together).unionByName(apart).distinct()
+    more = overlaps(cut(rest)).where(similar).select("a", "b")
     if not more.isEmpty():
-        component = connected_components(links.unionByName(more), "a", "b")
+        component = connected_components(links.unionByName(several).unionByName(more), "a", "b")
 
-    group = sets.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key1", "key2", F.col("n_shingles"), F.coalesce("component", "rep").alias("c"))
-    # Rows that share an id are one node, even where their texts differ.
-    out = made.select("doc_id", "n_shingles", "key1", "key2").join(group, ["key1", "key2", "n_shingles"], "left")
-    c = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"))
+    group = sets.join(component.withColumnRenamed("node", "set"), "set", "left").select(*key, "rep", F.coalesce("component", "set").alias("c"))
+    least = group.groupBy("c").agg(F.min("rep").alias("least"))
+    out = made.select("doc_id", *key).join(group.join(least, "c").select(*key, "least"), key, "left")
+    c = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    # A doc_id that stands on texts without words too is in the component of its other texts.
+    empty = out.where("n_shingles = 0 and doc_id is not null").select("doc_id").distinct()
+    empty = out.where("n_shingles > 0").join(empty, "doc_id").groupBy("doc_id").agg(F.min("least").alias("of"))
+    out = out.join(hinted(empty), "doc_id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, c).otherwise(F.coalesce("of", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose documents' full shingle sets reach the similarity."""
-    text = docs.where("doc_id is not null and text is not null")
-    both = pairs.select("a", "b").join(text.toDF("b", "text_b"), "b").join(text.toDF("a", "text_a"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(linked_batches(words, percent), "a bigint, b bigint").distinct()
+def cold_tested(tested: DataFrame) -> DataFrame:
+    """The pairs that were tested, both ways."""
+    return tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def alone(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(rep, own): how many shingles of a document stand in no other of these documents.
+def known(hot: DataFrame, tested: DataFrame, sets: DataFrame, docs: DataFrame, hinted, words: int) -> DataFrame:
+    """(set, n, c, own, lead, n_lead, lacks, extra) for the sets of crowded bands.
 
-    More than a share of 1 - similarity of them, and none of the others can be similar enough:
-    that settles edited copies that are all a little too far from each other, without pairing them.
+    own: shingles that no other of these sets has, nor one of their leaders. lacks: shingles of the leader
+    that the set has not. extra: its shingles that the leader has not, but another set of that leader has.
+    A set that no leader was found for is its own.
     """
-    text = docs.withColumnRenamed("doc_id", "rep").where("text is not null").join(reps, "rep", "left_semi")
-    grams = text.mapInArrow(gram_batches(words), "rep bigint, gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("rep"))
-    return grams.where("df = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    of = tested.select(F.col("b").alias("set"), F.col("a").alias("lead"), F.col("n_a").alias("n_lead"), (F.col("n_a") - F.col("both")).alias("lacks"), (F.col("n_b") - F.col("both")).alias("besides"))
+    hot = cut(hot.join(of, "set", "left").select("set", "n", "c", F.coalesce("lead", "set").alias("lead"), F.coalesce("n_lead", "n").alias("n_lead"), F.coalesce("lacks", F.lit(0)).alias("lacks"), F.coalesce("besides", F.lit(0)).alias("besides")))
+    # Leaders count among those that they lead, too; such rows say nothing about the leader itself.
+    led = hot.select("set", "lead", F.lit(False).alias("guest"))
+    guests = hot.select(F.col("lead").alias("set")).distinct().join(hot.where("set = lead").select("set"), "set", "left_anti")
+    led = led.unionByName(guests.select("set", F.col("set").alias("lead"), F.lit(True).alias("guest")))
+    led = cut(led.join(sets.select("set", F.col("rep").alias("doc_id"), "hash"), "set"))
+    text = docs.join(hinted(led), ["doc_id", "hash"]).select("set", "lead", "guest", "text")
+    grams = text.mapInArrow(gram_batches(words), "set bigint, lead bigint, guest boolean, gram bigint")
+    grams = grams.groupBy("gram", "lead").agg(F.min("set").alias("set"), F.max("set").alias("last"), F.bool_or("guest").alias("guest"))
+    total = Window.partitionBy("gram")
+    grams = grams.withColumns({"lo": F.min("set").over(total), "hi": F.max("last").over(total)}).where("set = last and not guest")
+    own = grams.groupBy("set").agg(F.count(F.when(F.col("lo") == F.col("hi"), 1)).alias("own"), F.count(F.lit(1)).alias("own_here"))
+    out = hot.join(own, "set", "left").withColumns({"own": F.coalesce("own", F.lit(0)), "own_here": F.coalesce("own_here", F.lit(0))})
+    return out.select("set", "n", "c", "own", "lead", "n_lead", "lacks", F.greatest(F.col("besides") - F.col("own_here"), F.lit(0)).alias("extra"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

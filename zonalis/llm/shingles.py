@@ -20,7 +20,7 @@ _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B
 _U = np.uint64
 
 #: Bytes of text that are hashed together, and elements whose signatures are made together.
-CHUNK_BYTES, CHUNK_ITEMS = 1 << 20, 150_000
+CHUNK_BYTES, CHUNK_ITEMS = 1 << 20, 60_000
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -150,7 +150,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def signature_batches(words: int, bands: int, rows: int):
-    """For mapInArrow over (doc_id, text): size, a 128-bit key of the set, and the band keys."""
+    """For mapInArrow over (doc_id, text, hash): size, a 128-bit key of the set, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,30 +161,31 @@ def signature_batches(words: int, bands: int, rows: int):
                 keys = band_keys(super_min_hash(sets, bands * rows), bands, rows) if len(sets) else np.empty((0, bands), np.int64)
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(full * bands))).astype(np.int32), pa.array(keys[full].reshape(-1)))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    part.column("doc_id"), part.column("hash"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([s.sum(dtype=_U) for s in sets], dtype=_U).view(np.int64)),
                     pa.array(np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], dtype=_U).view(np.int64)),
-                    lists], names=["doc_id", "n_shingles", "key1", "key2", "bands"])
+                    lists], names=["doc_id", "hash", "n_shingles", "key1", "key2", "bands"])
 
     return run
 
 
 def gram_batches(words: int):
-    """For mapInArrow over (rep, text): one row for each distinct shingle of a text."""
+    """For mapInArrow over (set, lead, guest, text): one row for each distinct shingle of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 sets = shingle_sets(_bytes(part.column("text")), words)
-                reps = np.repeat(part.column("rep").to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "gram"])
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                grams = np.concatenate(sets) if sets else np.empty(0, dtype=_U)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("set", "lead", "guest")), pa.array(grams.view(np.int64))], names=["set", "lead", "guest", "gram"])
 
     return run
 
 
-def linked_batches(words: int, percent: int):
-    """For mapInArrow over (a, b, text_a, text_b): the pairs whose full sets are similar enough."""
+def overlap_batches(words: int):
+    """For mapInArrow over (a, b, text_a, text_b): the sizes of the two sets and of their intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,11 +194,8 @@ def linked_batches(words: int, percent: int):
                 left, right = _bytes(part.column("text_a")), _bytes(part.column("text_b"))
                 unique = list(dict.fromkeys(left + right))
                 made = dict(zip(unique, shingle_sets(unique, words), strict=True))
-                keep = []
-                for x, y in zip(left, right, strict=True):
-                    s, t = made[x], made[y]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                found = [(len(made[x]), len(made[y]), len(np.intersect1d(made[x], made[y], assume_unique=True))) for x, y in zip(left, right, strict=True)]
+                counts = np.array(found, dtype=np.int32).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *(pa.array(counts[:, k]) for k in range(3))], names=["a", "b", "n_a", "n_b", "both"])
 
     return run
