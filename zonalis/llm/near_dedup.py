@@ -24,7 +24,7 @@ from .shingles import gram_batches, overlap_batches, signature_batches
 CROWD = 8
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 63, rows: int = 8, crowd: int = CROWD, broadcast_mb: float = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 63, rows: int = 8, crowd: int = CROWD, broadcast_mb: float = 8) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Documents are linked when their sets of word shingles have a Jaccard similarity of percent/100
