@@ -366,3 +366,23 @@ def test_fit_budget_is_exact_where_it_can_be():
     assert sum(n * c for n, c in mixing.fit_budget({3: 10, 7: 4, 11: 2}, 41).items()) == 41
     assert sum(n * c for n, c in mixing.fit_budget({5: 3}, 8).items()) == 10
     assert mixing.fit_budget({5: 3}, 0) == {} and mixing.fit_budget({}, 9) == {}
+    assert mixing.fit_budget({300_000: 5, 700_000: 1}, 700_000) == {700_000: 1}
+    assert sum(n * c for n, c in mixing.fit_budget({n: 400 for n in range(50, 900, 7)}, 3_000_001).items()) == 3_000_001
+
+
+def nearest_sums(sizes, budget):
+    """How far the nearest sum of some of the sizes is from the budget, by trying all sums."""
+    sums = {0}
+    for n in sizes:
+        sums |= {x + n for x in sums}
+    return min(abs(x - budget) for x in sums)
+
+
+def test_fit_budget_against_all_sums():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        counts = {int(n): int(rng.integers(1, 5)) for n in rng.integers(1, 120, int(rng.integers(1, 7)))}
+        budget = int(rng.integers(0, sum(n * c for n, c in counts.items()) + 1))
+        got = mixing.fit_budget(counts, budget)
+        assert all(0 < c <= counts[n] for n, c in got.items())
+        assert abs(sum(n * c for n, c in got.items()) - budget) == nearest_sums([n for n, c in counts.items() for _ in range(c)], budget)

@@ -2,7 +2,7 @@
 
 Documents are counted by exact length within each source. A source's budget is whole passes over
 the source and a rest; the rest takes the same share of every length, rounded down, then the
-longest documents that still fit, and the last few thousand words by bounded-knapsack dynamic
+longest documents that still fit, and the last 65,536 words by bounded-knapsack dynamic
 programming over the counts that are left. Only then are documents named: within a length, those
 with the smallest seeded hash. Nothing but counts meets in one place.
 """
@@ -35,36 +35,33 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     return s.select("key", "source", "source_size", F.least(F.col("full"), F.col("level") * F.col("w")).alias("target"))
 
 
-def fit_budget(counts: dict[int, int], budget: int, dp_words: int = 4096) -> dict[int, int]:
+def fit_budget(counts: dict[int, int], budget: int, dp_words: int = 1 << 16) -> dict[int, int]:
     """How many documents of each length to take so that their words come nearest to the budget.
 
-    Exact where the last words can be made up from what is left within dp_words; otherwise the
-    nearest sum that the dynamic programme reaches.
+    What exceeds dp_words of the budget is shared out in proportion and filled from the longest
+    lengths down; the last dp_words, or all of a smaller budget, go to the dynamic programme, which is
+    exact over the documents that are left. It may go over by less than the shortest of them.
     """
+    counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in counts.items())
-    if budget <= 0 or total <= 0:
+    if budget <= 0 or not counts:
         return {}
-    budget = min(budget, total)
-    # One document of each length is held back, so that the last words have something to be made of.
-    take = {n: max(0, c * budget // total - 1) for n, c in counts.items()}
+    if budget >= total:
+        return counts
+    share = max(0, budget - dp_words)
+    take = {n: c * share // total for n, c in counts.items()}
     rest = budget - sum(n * c for n, c in take.items())
-    order = sorted((n for n in counts if n > 0), reverse=True)
+    order = sorted(counts, reverse=True)
     for n in order:
-        more = min(counts[n] - take[n], max(0, rest - dp_words // 2) // n)
+        more = min(counts[n] - take[n], max(0, rest - dp_words) // n)
         take[n] += more
         rest -= n * more
-    top = rest + (order[-1] if order else 0)  # going over by less than the shortest document may be nearer
-    if rest <= 0 or top > 64 * dp_words:
-        for n in order:  # too long a rest only if every length left is longer than it
-            more = min(counts[n] - take[n], rest // n)
-            take[n] += more
-            rest -= n * more
-        return {n: c for n, c in take.items() if c}
+    top = rest + min(n for n in order if counts[n] > take[n])  # going over by less than the shortest may be nearer
     mask, reach, steps = (1 << (top + 1)) - 1, 1, []
     for n in order:
         left = min(counts[n] - take[n], top // n)
         part = 1
-        while left > 0:
+        while left > 0 and not reach >> rest & 1:
             k = min(part, left)
             steps.append((n, k, reach))
             reach = (reach | reach << (n * k)) & mask
@@ -79,7 +76,7 @@ def fit_budget(counts: dict[int, int], budget: int, dp_words: int = 4096) -> dic
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
-        seed: int = 0, dp_words: int = 4096, bucket_docs: int = 5000) -> DataFrame:
+        seed: int = 0, dp_words: int = 1 << 16, bucket_docs: int = 5000) -> DataFrame:
     """One row for each row of docs: doc_id, size, source, source_size, target, copies, taken.
 
     size is the number of words of the whole text, 0 for null; copies times size is taken. A

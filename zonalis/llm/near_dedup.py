@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fits_broadcast, load, stored
-from .graph import connected_components
+from .graph import forest_roots, merged
 from .shingles import gram_batches, overlap_batches, signature_batches
 
 #: Bands with more unconnected sets than this are looked at closely before pairs are made; results do not depend on it.
@@ -67,13 +67,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     votes = led.where(F.col("lead.l") != -F.col("set")).groupBy("set", "lead").agg(F.count(F.lit(1)).alias("count"))
     first = votes.groupBy("set").agg(F.max(F.struct("count", "lead.hub", "lead.l")).alias("x"))
     tested = overlaps(cut(first.select(F.col("set").alias("b"), (-F.col("x.l")).alias("a"))))
-    links = tested.where(similar).select("a", "b")
+    # A leader comes before those that it leads in the order of hubs, so links to leaders are a forest.
+    component = forest_roots(tested.where(similar), "b", "a")
 
     # Sets of one doc_id are one node.
     several = full.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("doc_id")
     several = full.join(several, "doc_id").join(sets.drop("hash"), key).select("doc_id", "set").distinct()
     several = several.join(several.groupBy("doc_id").agg(F.min("set").alias("a")), "doc_id").where("a <> set").select("a", F.col("set").alias("b"))
-    component = connected_components(links.unionByName(several), "a", "b")
 
     # Then every candidate pair that is not connected yet and that can be similar.
     named = shared.join(component.withColumnRenamed("node", "set"), "set", "left").select("band", "set", "n", F.coalesce("component", "set").alias("c"))
@@ -99,9 +99,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     apart = at.join(at.withColumnsRenamed({c: f"{c}2" for c in at.columns if c != "band"}), "band")
     apart = apart.where((F.col("c") < F.col("c2")) & (F.col("lead") != F.col("lead2")) & size & alone).select(F.col("set").alias("a"), F.col("set2").alias("b"))
     rest = cold.unionByName(together).unionByName(apart).distinct()
-    more = overlaps(cut(rest)).where(similar).select("a", "b")
-    if not more.isEmpty():
-        component = connected_components(links.unionByName(several).unionByName(more), "a", "b")
+    more = overlaps(cut(rest)).where(similar).select("a", "b").unionByName(several)
+    for end in ("a", "b"):
+        more = more.join(component.toDF(end, f"c{end}"), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+    component = merged(component, more, "a", "b")
 
     group = sets.join(component.withColumnRenamed("node", "set"), "set", "left").select(*key, "rep", F.coalesce("component", "set").alias("c"))
     least = group.groupBy("c").agg(F.min("rep").alias("least"))
