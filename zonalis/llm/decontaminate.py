@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, fits_broadcast, load, tokens
+from .common import ascii_lower, cut, fits_broadcast, fresh, load, tokens
 
 #: What separates words: ASCII without digits and letters. Other characters belong to words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -74,13 +74,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "flag", win
     answer; a null doc_id is an id like any other. An empty benchmark marks nothing. Input columns
     named like a result are replaced; others are kept.
     """
-    found = find_hits(docs, benchmark, window).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("hits").alias("_hits"), F.col("items").alias("_items"))
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+    i, h, at, of = fresh(docs, "id_of", "hash_of", "hits_of", "items_of")
+    found = find_hits(docs, benchmark, window).select("doc_id", "text_hash", "hits", "items").toDF(i, h, at, of)
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
     n = F.size(tokens(F.col("text"), SEPARATORS_ANY_CASE))
     out = out.withColumns({
-        "n_words": n.cast("long"), "hits": F.coalesce("_hits", F.array().cast("array<int>")),
-        "items": F.coalesce("_items", F.array().cast("array<string>"))}).drop("_id", "_hash", "_hits", "_items")
+        "n_words": n.cast("long"), "hits": F.coalesce(at, F.array().cast("array<int>")),
+        "items": F.coalesce(of, F.array().cast("array<string>"))}).drop(i, h, at, of)
     hit = F.size("hits").cast("long")
     out = out.withColumn("contaminated", (hit > 0) & (hit * 100 >= F.col("n_words") * percent))
     if mode == "flag":

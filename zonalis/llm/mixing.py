@@ -38,9 +38,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
 def fit_budget(counts: dict[int, int], budget: int, dp_words: int = 1 << 16) -> dict[int, int]:
     """How many documents of each length to take so that their words come nearest to the budget.
 
-    What exceeds dp_words of the budget is shared out in proportion and filled from the longest
-    lengths down; the last dp_words, or all of a smaller budget, go to the dynamic programme, which is
-    exact over the documents that are left. It may go over by less than the shortest of them.
+    What exceeds dp_words, or the longest document if that is more, is shared out in proportion and filled
+    from the longest lengths down; what is left, or all of a smaller budget, goes to the dynamic
+    programme, which is exact over the documents that are left. The sum may be above the budget.
     """
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in counts.items())
@@ -48,15 +48,16 @@ def fit_budget(counts: dict[int, int], budget: int, dp_words: int = 1 << 16) ->
         return {}
     if budget >= total:
         return counts
-    share = max(0, budget - dp_words)
+    order = sorted(counts, reverse=True)
+    last = max(dp_words, order[0])
+    share = max(0, budget - last)
     take = {n: c * share // total for n, c in counts.items()}
     rest = budget - sum(n * c for n, c in take.items())
-    order = sorted(counts, reverse=True)
     for n in order:
-        more = min(counts[n] - take[n], max(0, rest - dp_words) // n)
+        more = min(counts[n] - take[n], max(0, rest - last) // n)
         take[n] += more
         rest -= n * more
-    top = rest + min(n for n in order if counts[n] > take[n])  # going over by less than the shortest may be nearer
+    top = rest + min(rest, order[0])  # a sum above may be nearer
     mask, reach, steps = (1 << (top + 1)) - 1, 1, []
     for n in order:
         left = min(counts[n] - take[n], top // n)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fits_broadcast, load, stored
+from .common import cut, fits_broadcast, fresh, load, stored
 
 FEATURES = ("long_word", "upper", "symbols", "pipes", "bangs", "digits", "repeats", "variety", "lines", "short")
 _KIND = np.zeros(256, dtype=np.int64)
@@ -126,9 +126,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
 def drop_low_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, broadcast_mb: float = 32, **options) -> DataFrame:
     """The documents that are kept, columns unchanged; rows that are equal in id and text go or stay together."""
     gone = score_quality(docs, labels, host, path, broadcast_mb=broadcast_mb, **options).where("not keep")
-    gone = cut(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    i, h = fresh(docs, "id_of", "hash_of")
+    gone = cut(gone.select("doc_id", "text_hash").distinct().toDF(i, h))
     small = fits_broadcast(gone, F.lit(32), broadcast_mb)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
     return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
 
 
