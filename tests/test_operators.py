@@ -178,3 +178,34 @@ def test_starts_feasible_draws_until_each_start_has_a_point(spark):
     assert all(r["x"][0] <= r["x"][1] for r in got)
     with pytest.raises(ValueError):
         search.starts_feasible(ids, [(2.0, 3.0), (0.0, 1.0)], (0, 1), 7)
+
+
+def test_extra_variance_in_the_units_of_its_specs(spark):
+    scaler = spark.createDataFrame([("P", 0, "zonal", 3.0), ("P", 1, "regional", 5.0), ("P", 2, "global", 8.0), ("Q", 0, "zonal", 2.0)], "variable string, feat_idx int, block string, scale double")
+    got = costs.extra_variance(scaler, {"P": {"zonal": 0.6, "global_phys": 4.0}}, {"P": {"zonal": 1.5, "regional": 10.0}, "Q": {"zonal_phys": 1.0}})
+    want = {("P", 0): 0.36 + 0.25, ("P", 1): 4.0, ("P", 2): 0.25, ("Q", 0): 0.25}
+    assert {(r[0], r[1]): pytest.approx(r[2]) for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        costs.extra_variance(scaler, None, {"P": {"zonal": 1.0, "zonal_phys": 1.0}})
+
+
+def test_residual_step_weighs_locations(spark):
+    rows = spark.createDataFrame([("a", 1.0, 0.0, 0.5, 0.5, 3.0), ("a", 3.0, 0.0, 1.5, 0.5, 1.0)], "b string, obs double, mean double, var double, extra double, w double")
+    r = errors.residual_step(rows, ["b"]).first()
+    assert (r["rms_residual"], r["rms_sd"], r["chi2"]) == (pytest.approx(3**0.5), pytest.approx(0.75**0.5), pytest.approx((3 * 1.0 + 4.5) / 4))
+    r = errors.residual_step(rows.drop("w"), ["b"]).first()
+    assert r["rms_residual"] == pytest.approx(5**0.5)
+
+
+def test_params_attach_refuses_missing_values(spark):
+    params = spark.createDataFrame([(1, "p", 1.0), (1, "q", 2.0), (2, "p", 1.0), (2, "q", None)], "member long, param string, value double")
+    members = spark.createDataFrame([(1,), (2,)], "member long")
+    assert manifest.params_attach(members.where("member = 1"), params).count() == 2
+    with pytest.raises(ValueError):
+        manifest.params_attach(members, params)
+
+
+def test_member_names_of_any_length(spark):
+    names = ["001.x", "1000.x", "7.y", "12", "m042", "a.b.m1042", "control", "x.mm3"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(member_index(F.col("n"))).collect()
+    assert [r[0] for r in got] == [0, 999, 6, 11, 42, 1042, None, None]

@@ -37,8 +37,8 @@ def band_centre(band: Column, width: float = 10.0) -> Column:
 
 
 def member_index(name: Column) -> Column:
-    """'001.x' is 0, '….m042' is 42; NULL for names that are no member."""
-    leading, tagged = F.regexp_extract(name, r"^(\d{3})\.", 1), F.regexp_extract(name, r"\.m(\d+)$", 1)
+    """'001.x' and '1' are 0, '….m042' and 'm042' are 42; NULL for names that are no member."""
+    leading, tagged = F.regexp_extract(name, r"^(\d+)(?:\.|$)", 1), F.regexp_extract(name, r"(?:^|\.)m(\d+)$", 1)
     return F.when(leading != "", leading.cast("long") - 1).when(tagged != "", tagged.cast("long"))
 
 

@@ -95,20 +95,21 @@ def layout_check(rows: DataFrame, n_rows: int) -> None:
 def extra_variance(scaler: DataFrame, model_error: dict | None, obs_error: dict | None) -> DataFrame:
     """(variable, feat_idx, extra) in normalised units, from variances by variable and block.
 
-    scaler: (variable, feat_idx, block, scale). A spec maps variable to {block: sigma} with
-    '<block>_phys' for physical units; both forms of one block, or unknown keys, are errors; None adds nothing.
+    scaler: (variable, feat_idx, block, scale). A spec maps variable to {block: sigma}. Model errors are in
+    normalised units unless the key is '<block>_phys'; observation errors are in physical units under either
+    key. Both forms of one block, or unknown keys, are errors; None adds nothing.
     """
     blocks = [r["block"] for r in scaler.select("block").distinct().collect()]
     known = {r["variable"] for r in scaler.select("variable").distinct().collect()}
     extra = F.lit(0.0)
-    for spec in (model_error, obs_error):
+    for spec, physical in ((model_error, False), (obs_error, True)):
         for v, parts in (spec or {}).items():
             allowed = {*blocks, *(f"{b}_phys" for b in blocks)}
             if v not in known or set(parts) - allowed or any(b in parts and f"{b}_phys" in parts for b in blocks):
                 raise ValueError(f"bad variance specification for {v}: {sorted(parts)}")
             for key, sigma in parts.items():
                 block = key.removesuffix("_phys")
-                s = F.lit(float(sigma)) / (F.col("scale") if key != block else F.lit(1.0))
+                s = F.lit(float(sigma)) / (F.col("scale") if physical or key != block else F.lit(1.0))
                 extra = extra + F.when((F.col("variable") == v) & (F.col("block") == block), s * s).otherwise(0.0)
     return scaler.select("variable", "feat_idx", extra.alias("extra"))
 

@@ -50,10 +50,18 @@ def sigma_mle(residuals: DataFrame, keys: list[str], points: int = 400, passes:
 
 
 def residual_step(rows: DataFrame, keys: list[str], dof: float | None = None) -> DataFrame:
-    """RMS residual, RMS sd and mean r²/V per block; V of Student-t scaled by dof / (dof - 2). rows: obs, mean, var, extra."""
+    """RMS residual, RMS sd and mean r²/V per block; V of Student-t scaled by dof / (dof - 2).
+
+    rows: obs, mean, var, extra, and w where the locations of a block have weights; without, all count alike.
+    """
     r, v = F.col("obs") - F.col("mean"), F.col("var") + F.col("extra")
     v = v * (dof / (dof - 2)) if dof else v
-    return rows.groupBy(*keys).agg(F.sqrt(F.avg(r * r)).alias("rms_residual"), F.sqrt(F.avg("var")).alias("rms_sd"), F.avg(r * r / v).alias("chi2"))
+    w = F.col("w") if "w" in rows.columns else F.lit(1.0)
+
+    def mean(x: Column) -> Column:
+        return F.sum(w * x) / F.sum(F.when(x.isNotNull(), w))
+
+    return rows.groupBy(*keys).agg(F.sqrt(mean(r * r)).alias("rms_residual"), F.sqrt(mean(F.col("var"))).alias("rms_sd"), mean(r * r / v).alias("chi2"))
 
 
 def sigma_phys_equiv(sigmas: DataFrame, scaler: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,7 +85,9 @@ def calibrate_loop(optimise: Callable[[DataFrame | None], DataFrame], residuals:
             row.write.mode("append").parquet(path)
         if sigma is not None:
             old = sigma.withColumnRenamed("sigma", "old")
-            change = new.join(old, keys).agg(F.max(F.abs(F.col("sigma") - F.col("old")) / F.greatest("old", F.lit(floor))).alias("c")).first()["c"]
+            # A block without an old sigma has changed beyond any tolerance.
+            step = F.coalesce(F.abs(F.col("sigma") - F.col("old")) / F.greatest("old", F.lit(floor)), F.lit(float("inf")))
+            change = new.join(old, keys, "left").agg(F.max(step).alias("c")).first()["c"]
             if change is not None and change <= tol:
                 break
         sigma = new

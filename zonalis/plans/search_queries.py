@@ -64,7 +64,7 @@ def near_best_delta(spark, d):
     return search.near_best_delta(fx.results(spark, d), "seed", 0.2).select("start_idx", "seed", "near")
 
 
-@query("warm_chain_rounds", fx.sql("SELECT round, round(max(abs(sigma - p) / greatest(abs(p), 0.05e0)), 6) AS change, coalesce(max(abs(sigma - p) / greatest(abs(p), 0.05e0)) <= 0.02e0, false) AS converged FROM (SELECT *, lag(sigma) OVER (PARTITION BY variable, block ORDER BY round) AS p FROM calibration_rounds) GROUP BY round"))
+@query("warm_chain_rounds", fx.sql("SELECT round, CASE WHEN count(p) = 0 THEN NULL WHEN count(p) < count(*) THEN 'Infinity'::DOUBLE ELSE round(max(abs(sigma - p) / greatest(abs(p), 0.05e0)), 6) END AS change, coalesce(count(p) = count(*) AND max(abs(sigma - p) / greatest(abs(p), 0.05e0)) <= 0.02e0, false) AS converged FROM (SELECT *, lag(sigma) OVER (PARTITION BY variable, block ORDER BY round) AS p FROM calibration_rounds) GROUP BY round"))
 def warm_chain_rounds(spark, d):
     return rounded(search.warm_chain_rounds(fx.calibration_rounds(spark, d), ["variable", "block"], 0.02), "change")
 

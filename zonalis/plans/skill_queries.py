@@ -362,7 +362,7 @@ def _extra(spark, d):
     return costs.extra_variance(s, {0: {"zonal": 0.3, "global_phys": 0.2}}, {0: {"zonal": 0.1}, 2: {"regional_phys": 0.5}})
 
 
-EXTRA = f"extra AS (SELECT variable, feat_idx, CASE WHEN variable = 0 AND {BLOCK_OF} = 'zonal' THEN 0.3e0 * 0.3e0 + 0.1e0 * 0.1e0 WHEN variable = 0 AND {BLOCK_OF} = 'global' THEN (0.2e0 / scale) * (0.2e0 / scale) WHEN variable = 2 AND {BLOCK_OF} = 'regional' THEN (0.5e0 / scale) * (0.5e0 / scale) ELSE 0e0 END AS extra FROM std)"
+EXTRA = f"extra AS (SELECT variable, feat_idx, CASE WHEN variable = 0 AND {BLOCK_OF} = 'zonal' THEN 0.3e0 * 0.3e0 + (0.1e0 / scale) * (0.1e0 / scale) WHEN variable = 0 AND {BLOCK_OF} = 'global' THEN (0.2e0 / scale) * (0.2e0 / scale) WHEN variable = 2 AND {BLOCK_OF} = 'regional' THEN (0.5e0 / scale) * (0.5e0 / scale) ELSE 0e0 END AS extra FROM std)"
 
 
 @query("extra_variance", fx.sql("SELECT variable, feat_idx, round(extra, 6) AS extra FROM extra", STD, EXTRA))

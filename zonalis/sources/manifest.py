@@ -35,10 +35,12 @@ def with_member_index(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def params_attach(members: DataFrame, params: DataFrame, check: bool = True) -> DataFrame:
-    """Members with their parameter rows; with check, a member without any is an error."""
+    """Members with their parameter rows; with check, a member without any, or with a NULL or missing one, is an error."""
     out = members.join(params, "member", "left")
     if check:
-        missing = [r["member"] for r in out.where(F.col("param").isNull()).select("member").distinct().limit(10).collect()]
+        names = params.select("param").distinct().count()
+        have = out.groupBy("member").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col("param"))).alias("n"))
+        missing = [r["member"] for r in have.where(F.col("n") < names).orderBy("member").limit(10).collect()]
         if missing:
             raise ValueError(f"members without parameters: {missing}")
     return out
