@@ -250,6 +250,33 @@ def test_field_learns_its_tags():
     assert np.mean([model.decode(run) == tags for run, tags in data]) > 0.95
 
 
+def test_field_finds_secrets_without_a_pattern_and_leaves_others():
+    rng = np.random.default_rng(2)
+
+    def text(i, secret):
+        key = hashlib.sha1(str(i).encode()).hexdigest().upper()[: 24 + i % 9]
+        word = ["token", "secret", "api_key"][i % 3]
+        say = f'{word} = "{key}"' if secret == "named" else f"{word} is {key}" if secret else f"order {i}-2345-def"
+        return f"{prose(i, 12)} {say} {prose(i + 1, 8)} on 2024-0{1 + i % 9}-15 at 10:{10 + i % 40} room-{i}b build-{rng.integers(10**6)}-final"
+
+    model = secrets.Field().fit([x for i in range(200) for x in secrets.tagged(text(i, "named" if i % 2 else ""))])
+    found, wrong, there = 0, 0, 0
+    for i in range(1000, 1120):
+        t = text(i, i % 2)
+        n = t.count("\n") + 1
+        for run in secrets.token_runs(t):
+            for (a, z), tag in zip(run, model.decode([secrets.features(t, a, z, n) for a, z in run]), strict=True):
+                secret = z - a >= 24
+                there += secret
+                found += secret and tag == secrets.BEGIN
+                wrong += not secret and tag != secrets.OUT
+    assert not secrets.base_spans(text(1001, 1)) and there == 60
+    assert found >= 0.9 * there and wrong <= 0.02 * there
+    for benign in ("abc-12345-def-xyz", "release-2024-01-15-final", "IMG_20240115_093012_burst", "978-3-16-148410-0a", "/blog/2024/05/post-title-42"):
+        t = f"{prose(3, 10)} see {benign} for more {prose(4, 10)}"
+        assert all(tag == secrets.OUT for run in secrets.token_runs(t) for tag in model.decode([secrets.features(t, a, z, 1) for a, z in run]))
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []
