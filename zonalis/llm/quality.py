@@ -3,7 +3,7 @@
 A logistic classifier on text statistics gives each document a probability. Grouped aggregation
 turns these into posteriors of hosts, shrunk toward the global mean, and of paths within hosts,
 shrunk toward their host; how strongly is estimated from the spread between groups. The
-document's final odds are its own, moved by how far its path stands from the global mean.
+document's final odds are its own, moved by how far the other documents of its path stand from the global mean.
 """
 
 from __future__ import annotations
@@ -47,6 +47,12 @@ def labelled_sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
+def one_of_each_id(rows: DataFrame, *columns: str, by: str = "text_hash") -> DataFrame:
+    """doc_id and the columns of one row of each id, the one of the least hash: rows that share an id are not all collected."""
+    least = rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), by).alias("row"))
+    return least.select("doc_id", *(f"row.{c}" for c in columns))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Weights and intercept by Newton steps; works on the raw features, penalised on their own scale."""
     mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -93,7 +99,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     """
     x = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
     x = stored(x.mapInArrow(_statistics, "doc_id bigint, text_hash bigint, host string, path string, x array<double>"))
-    train = x.select("doc_id", "x").join(F.broadcast(labelled_sample(labels, "quality", max_train)), "doc_id").select("x", "label").collect()
+    train = one_of_each_id(x.select("doc_id", "text_hash", "x").join(F.broadcast(labelled_sample(labels, "quality", max_train)), "doc_id"), "x", "label").collect()
     y = np.array([float(r["label"] > 0) for r in train])
     if len(set(y)) == 2:
         w, b = fit_logistic(np.array([r["x"] for r in train]), y)
@@ -110,15 +116,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     all_of = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = all_of["s"] / all_of["n"] if all_of["n"] else 0.5
     k_host, k_path = shrinkage(hosts, mean), shrinkage(paths, mean)
-    rates = hosts.select(F.col("host").alias("h"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("host_rate"))
+    rates = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("host_rate"))
     rates = paths.join(rates, F.col("host").eqNullSafe(F.col("h"))).select(
-        F.col("host").alias("h"), F.col("path").alias("p"), "host_rate",
+        F.col("host").alias("h"), F.col("path").alias("p"), "host_n", "host_s", F.col("n").alias("path_n"), F.col("s").alias("path_s"), "host_rate",
         ((F.col("s") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"))
     rates = cut(rates)
     size = F.lit(64) + F.coalesce(F.octet_length("h"), F.lit(0)) + F.coalesce(F.octet_length("p"), F.lit(0))
     small = fits_broadcast(rates, size, broadcast_mb)
     x = x.join(F.broadcast(rates) if small else rates, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    odds = _logit(F.col("own")) + _logit(F.col("path_rate")) - _logit(F.lit(mean))
+    # A document's own evidence counts once: it is left out of the record of its host and path.
+    host_of_others = (F.col("host_s") - F.col("own") + k_host * mean) / (F.col("host_n") - 1 + k_host)
+    path_of_others = (F.col("path_s") - F.col("own") + k_path * host_of_others) / (F.col("path_n") - 1 + k_path)
+    odds = _logit(F.col("own")) + _logit(path_of_others) - _logit(F.lit(mean))
     x = x.withColumn("quality", 1 / (1 + F.exp(-odds)))
     return x.select("doc_id", "text_hash", "own", "host_rate", "path_rate", "quality", (F.col("quality") >= threshold).alias("keep"))
 

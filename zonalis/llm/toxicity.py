@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
+from .quality import one_of_each_id
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -154,7 +155,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
     """(text, label) of at most max_train labelled ids whose crc32 is not divisible by 5."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(known), "doc_id")
+    return one_of_each_id(rows, "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> tuple[dict[str, float], float]:
