@@ -320,6 +320,44 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(docs.where("false"), lab).count() == 0
 
 
+def test_label_model_recovers_accuracies_and_a_correlated_pair():
+    rng = np.random.default_rng(11)
+    n, hit, false = 6000, [0.9, 0.75, 0.6, 0.8, 0.5], [0.02, 0.05, 0.1, 0.04, 0.2]
+    y = rng.random(n) < 0.2
+    votes = np.stack([rng.random(n) < np.where(y, h, f) for h, f in zip(hit, false)], axis=1).astype(int)
+    copied = np.where(rng.random(n) < 0.9, votes[:, 4], rng.random(n) < np.where(y, 0.5, 0.2)).astype(int)  # mostly repeats the weakest voter
+    model = toxicity.label_model(np.column_stack([votes, copied]), 0.2)
+    assert np.allclose(model.table[1, :5, 2], hit, atol=0.07) and np.allclose(model.table[0, :5, 2], false, atol=0.03)
+    assert model.shared[4, 5] > 0.7 and model.shared[np.triu_indices(5, 1)].max() < 0.2
+    assert ((model.posterior > 0.5) == y).mean() > 0.95
+
+
+def test_voters_differ_in_kind():
+    texts = [f"{prose(i, 30)} grumplo vexo{'abcdef'[i % 6]}ish" if i % 2 else prose(i, 30) for i in range(160)]
+    y = np.array([i % 2 for i in range(160)])
+    voters = toxicity.Voters.induced([toxicity.parts(t) for t in texts], y, np.ones(160))
+    words, _, four, five, six, ends = voters.lists
+    assert "grumplo" in words and {"vexo-", "grum-"} <= four and "grump-" in five and "grumpl-" in six and {"-mplo"} <= ends
+    assert not any("-" in p for p in words) and voters.votes(toxicity.parts("an idiot"))[6] == 1 and voters.votes(["plain"])[-1] == -1
+    flags = [toxicity.signs(t)[:len(toxicity.PATTERNS)] for t in ("you are so bad!", "GO AWAY!! now", "sh**t it", "nooooo", "go now!!\nfine", "you idiot", "", "Plain words.")]
+    assert [f.index(1) for f in flags[:6]] == [0, 1, 2, 3, 4, 5] and not any(flags[6]) and not any(flags[7])
+
+
+def test_rule_forest_against_direct_paths():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 3))
+    forest = rules.Forest(x, trees=20, size=64)
+    def path(tree, row, at=0):
+        feature, value, child, length = tree
+        return length[at] if child[at] < 0 else path(tree, row, child[at] + int(row[feature[at]] > value[at]))
+    want = [2.0 ** (-np.mean([path(t, r) for t in forest.trees]) / rules.average_path(64)) for r in x[:50]]
+    assert np.allclose(forest.scores(x[:50]), want)
+    far = forest.scores(np.array([[0.5, 0.5, 0.5], [5.0, 5.0, 5.0]]))
+    assert far[1] > far[0]
+    good = np.array([[5.0, 0.0], [5.2, 0.0], [4.8, 0.1]])
+    assert np.allclose(rules.UsualRanges(good, 1.0).excess(np.array([[5.1, 0.05], [6.0, 0.5]])), [[0, 0], [0.8, 0.4]])
+
+
 def test_rules(spark):
     rep = prose(50, 40)
     rows = [(i, prose(i, 60), "a") for i in range(80)] + [(100 + i, "### $$$ %%% " * 8 + prose(i, 30), "a") for i in range(20)] + [(200, f"{rep} {rep}", "a"), (201, "one\ntwo\none\n\n \n", "a"), (202, None, "a"), (203, "a\x0bb\x1cc d", "a")]

@@ -1,11 +1,12 @@
 """Toxicity by weak supervision: many weak voters, a generative label model, a linear classifier.
 
-Voters are lexicons and patterns. The lexicons are induced from the learning rows: words and word
-beginnings that stand in toxic rows far more often than in others, dealt into several lists. A
-generative model of the votes, fitted by expectation maximisation without looking at single
-labels, estimates each voter's accuracy; voters that still agree within a class beyond chance are
-correlated and share their weight. The posteriors it gives the learning rows are the targets of a
-linear classifier on words and word beginnings, which then scores every document.
+Voters differ in kind: short fixed lexicons by theme, lexicons of whole words, of word beginnings and
+of word endings induced from the learning rows, patterns of characters and lines, an address next to
+a word of contempt, and a count of hits. A generative model of the votes, fitted by expectation
+maximisation without looking at single labels, estimates each voter's accuracy; voters that still
+agree within a class beyond chance are correlated and share their weight. The posteriors it gives the
+learning rows are the targets of a linear classifier on words and word beginnings, which then scores
+every document.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,26 @@ from .quality import one_of_each_id
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-#: Word lexicons and lexicons of word beginnings.
-N_WORD_LISTS, N_PREFIX_LISTS = 6, 6
-INSULT = re.compile(r"\b(?:you|you're|they|such)\b[^.!?\n]{0,40}[!]", re.IGNORECASE)
-SHOUT = re.compile(r"\b[^\W\d_a-z]{4,}[!?]{1,}")
+#: Letters of a word ending.
+ENDING = 4
+#: Log-odds above which a part enters a lexicon, and above which a whole word enters the stronger one.
+ODDS, STRONG = 2.5, 4.5
+#: Words of three themes, in a few languages; a start for texts that no label has shown yet.
+THEMES = {
+    "folly": "blockhead blödmann bobo crétin dumb dummkopf estúpido fool idiot idiota idioten imbécil imbécile loser moron perdedor stupid stupide trottel tonto versager",
+    "contempt": "abschaum asqueroso basura dreck escoria filth garbage inútil minable ordure pathetic patético scum trash vermin wertlos worthless",
+    "threat": "crève die hang kill mata muere shoot stirb strangle tuer umbringen",
+}
+THEMES = {k: frozenset(v.split()) for k, v in THEMES.items()}
+#: Voters on characters, lines and neighbours; each sees the whole text.
+PATTERNS = (
+    re.compile(r"\b(?:you|you're|they|such)\b[^.!?\n]{0,40}[!]", re.IGNORECASE),
+    re.compile(r"\b[^\W\d_a-z]{4,}[!?]{1,}"),
+    re.compile(r"\b[^\W\d_]+[*@#$]{2,}[^\W\d_]*|[@#$%&*!]{4,}"),
+    re.compile(r"([^\W\d_])\1{3,}"),
+    re.compile(r"(?m)^[^\n]{1,60}!{2,}\s*$"),
+    re.compile(r"\b(?:you|tu|eres|du|ihr|vous|like|como|wie|with)\s+(?:an?\s+|un[ae]?\s+|ein\s+)?(?:" + "|".join(sorted(THEMES["folly"] | THEMES["contempt"])) + r")\b", re.IGNORECASE),
+)
 
 
 def parts(text: str) -> list[str]:
@@ -38,37 +56,55 @@ def parts(text: str) -> list[str]:
     return [*words, *starts]
 
 
+def endings(words: list[str]) -> set[str]:
+    """Last letters of the words among parts, after a hyphen."""
+    return {"-" + w[-ENDING:] for w in words if len(w) > ENDING and not w.endswith("-")}
+
+
 class Voters:
-    """Lexicon and pattern voters; a vote is 1 (toxic), -1 (clean) or 0 (none)."""
+    """Lexicon voters by kind of part; a vote is 1 (toxic), -1 (clean) or 0 (none)."""
 
     def __init__(self, lists: list[frozenset]):
         self.lists = lists
 
     @classmethod
     def induced(cls, sets: list[list[str]], y: np.ndarray, weight: np.ndarray, most: int = 400) -> Voters:
-        """Lists of the strongest parts by smoothed log-odds; each part goes to the list of its hash."""
+        """Strong words, weaker words, beginnings by length, endings: parts that toxic rows hold far more often, by smoothed log-odds."""
         toxic, clean = Counter(), Counter()
         for s, t, w in zip(sets, y, weight.tolist(), strict=True):
             of = toxic if t else clean
-            for p in s:
+            for p in (*s, *endings(s)):
                 of[p] += w
         n1, n0 = float(weight @ y), float(weight @ (1 - y))
         odds = {p: np.log((c + 0.5) / (n1 + 1)) - np.log((clean[p] + 0.5) / (n0 + 1)) for p, c in toxic.items() if c >= max(4, 0.01 * n1)}
-        lists: list[set] = [set() for _ in range(N_WORD_LISTS + N_PREFIX_LISTS)]
-        for starts, first, n in ((False, 0, N_WORD_LISTS), (True, N_WORD_LISTS, N_PREFIX_LISTS)):
-            found = sorted((p for p in odds if p.endswith("-") == starts and odds[p] > 2.5), key=lambda p: (-odds[p] * toxic[p] ** 0.5, p))
-            for p in found[:most]:
-                lists[first + zlib.crc32(p.encode()) % n].add(p)
-        return cls([frozenset(x) for x in lists])
+
+        def strongest(kind) -> frozenset:
+            found = sorted((p for p in odds if odds[p] > ODDS and kind(p)), key=lambda p: (-odds[p] * toxic[p] ** 0.5, p))
+            return frozenset(found[:most])
+
+        return cls([
+            strongest(lambda p: "-" not in p and odds[p] > STRONG),
+            strongest(lambda p: "-" not in p and odds[p] <= STRONG),
+            *(strongest(lambda p, n=n: p.endswith("-") and len(p) == n + 1) for n in PREFIXES),
+            strongest(lambda p: p.startswith("-")),
+        ])
 
     def votes(self, seen: list[str]) -> list[int]:
-        """One vote of each list, and one on whether any hit."""
-        have = set(seen)
-        hits = [len(x & have) for x in self.lists]
-        return [*(int(h > 0) for h in hits), 1 if sum(hits) > 1 else -1 if not sum(hits) else 0]
+        """One vote of each list and each theme, and one on how many lists hit."""
+        have = {*seen, *endings(seen)}
+        hits = [not x.isdisjoint(have) for x in (*self.lists, *THEMES.values())]
+        return [*map(int, hits), 1 if sum(hits) > 1 else -1 if not any(hits) else 0]
+
 
+class LabelModel(NamedTuple):
+    """posterior: of toxic, for each row; table: class x voter x vote (-1, 0, 1) probabilities; shared: voter x voter correlation within a class."""
 
-def label_model(votes: np.ndarray, prior: float, steps: int = 50) -> np.ndarray:
+    posterior: np.ndarray
+    table: np.ndarray
+    shared: np.ndarray
+
+
+def label_model(votes: np.ndarray, prior: float, steps: int = 50) -> LabelModel:
     """Posterior of toxic for each row, from the votes alone.
 
     Each voter has a table of vote probabilities in either class; expectation maximisation starts
@@ -82,13 +118,12 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 50) -> np.ndarray:
     # The share that the prior expects, by the sum of votes, starts as toxic.
     cut = np.quantile(total, 1 - prior) if n else 0
     post = np.where(total > max(cut, total.min() if n else 0), 0.9, 0.1)
-    share = np.ones(m)
+    share, shared = np.ones(m), np.zeros((m, m))
     for step in range(steps):
-        table = [np.einsum("n,nmv->mv", p, one_hot) + 0.5 for p in (1 - post, post)]
-        table = [t / t.sum(axis=1, keepdims=True) for t in table]
+        table = np.stack([np.einsum("n,nmv->mv", p, one_hot) + 0.5 for p in (1 - post, post)])
+        table /= table.sum(axis=2, keepdims=True)
         evidence = np.einsum("nmv,mv->nm", one_hot, np.log(table[1]) - np.log(table[0]))
         if step == steps // 2:
-            shared = np.zeros((m, m))
             for p in (1 - post, post):
                 centred = votes - np.average(votes, axis=0, weights=p + 1e-9)
                 cov = (centred * p[:, None]).T @ centred / max(p.sum(), 1e-9)
@@ -98,7 +133,7 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 50) -> np.ndarray:
             share = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
         odds = evidence @ share + np.log(prior / (1 - prior))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post
+    return LabelModel(post, table, shared)
 
 
 def fit_linear(sets: list[list[str]], target: np.ndarray, weight: np.ndarray, most: int = 6000, epochs: int = 60, rate: float = 0.5) -> tuple[dict[str, float], float]:
@@ -140,9 +175,9 @@ N_LINES = 5
 
 
 def signs(text: str) -> list[int]:
-    """Two pattern votes, and hashes of the longest lines."""
+    """The votes of the patterns, and hashes of the longest lines."""
     lines = [zlib.crc32(x.encode()) >> 1 for x in sorted(set(text.split("\n")), key=lambda x: (-len(x), x))[:N_LINES]]
-    return [int(bool(INSULT.search(text))), int(bool(SHOUT.search(text))), *lines, *[0] * (N_LINES - len(lines))]
+    return [*(int(bool(p.search(text))) for p in PATTERNS), *lines, *[0] * (N_LINES - len(lines))]
 
 
 def copy_weights(lines: np.ndarray) -> np.ndarray:
@@ -174,10 +209,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> tuple[di
     if len(set(y.tolist())) < 2:
         return {}, -3.0
     sets, seen = got["parts"].to_pylist(), np.array(got["signs"].to_pylist())
-    weight = copy_weights(seen[:, 2:])
+    weight = copy_weights(seen[:, len(PATTERNS):])
+    return fit_linear(sets, label_model(cast_votes(sets, seen, y, weight), float(np.average(y, weights=weight))).posterior, weight)
+
+
+def cast_votes(sets: list[list[str]], seen: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Votes of all voters (columns) on the learning rows."""
     voters = Voters.induced(sets, y, weight)
-    votes = np.array([[*voters.votes(s), *p] for s, p in zip(sets, seen[:, :2].tolist(), strict=True)])
-    return fit_linear(sets, label_model(votes, float(np.average(y, weights=weight))), weight)
+    return np.array([[*voters.votes(s), *p] for s, p in zip(sets, seen[:, :len(PATTERNS)].tolist(), strict=True)])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> DataFrame:
