@@ -26,7 +26,7 @@ def error_extremes(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def anomaly_to_default(zrg: DataFrame, default: DataFrame, keys: list[str]) -> DataFrame:
     d = default.select(*keys, F.col("value").alias("_d"))
-    return zrg.join(F.broadcast(d), keys).withColumn("anomaly", F.col("value") - F.col("_d")).drop("_d")
+    return zrg.join(d, keys).withColumn("anomaly", F.col("value") - F.col("_d")).drop("_d")
 
 
 def param_comparison(points: DataFrame, runs: list[str], near: float = 1e-3) -> DataFrame:

@@ -85,9 +85,14 @@ def cost_mae_physical(rows: DataFrame, w_var: dict, w_block: dict[str, float], d
     return cost(rows, term_absolute(), w_var, blocks)
 
 
+def layout_faults(rows: DataFrame, n_rows: int) -> DataFrame:
+    """(cand_id, n) of the candidates that do not have exactly n_rows rows."""
+    return rows.groupBy("cand_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != n_rows)
+
+
 def layout_check(rows: DataFrame, n_rows: int) -> None:
     """Every candidate must have exactly n_rows rows."""
-    bad = [r["cand_id"] for r in rows.groupBy("cand_id").count().where(F.col("count") != n_rows).limit(10).collect()]
+    bad = [r["cand_id"] for r in layout_faults(rows, n_rows).limit(10).collect()]
     if bad:
         raise ValueError(f"candidates without {n_rows} rows: {bad}")
 

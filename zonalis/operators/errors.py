@@ -30,7 +30,7 @@ def nll_term(r: Column, v: Column, likelihood: str = "gaussian", dof: float = 4.
 def sigma_grid(residuals: DataFrame, grid: DataFrame, keys: list[str], floor: float = 1e-6, **likelihood) -> DataFrame:
     """(keys, s2, nll) of the best point of a small grid (keys, s2): one pass over residuals times grid."""
     v = F.greatest(F.col("gp_var") + F.col("obs_var") + F.col("s2"), F.lit(floor))
-    both = residuals.join(F.broadcast(grid), keys)
+    both = residuals.join(grid, keys)
     nll = both.groupBy(*keys, "s2").agg(F.try_divide(F.sum(F.col("w") * nll_term(F.col("r"), v, **likelihood)), F.sum("w")).alias("nll"))
     return nll.groupBy(*keys).agg(F.min(F.struct("nll", "s2")).alias("m")).select(*keys, "m.s2", "m.nll")
 
@@ -101,7 +101,7 @@ def footprint_mean(daily: DataFrame, area: DataFrame, keys: list[str], n_times:
         good = daily.groupBy("product", "ncol").agg(F.count("value").alias("k")).join(F.broadcast(every), F.col("k") == F.col("n"), "left_semi")
     else:
         good = daily.groupBy("product", "ncol").agg(F.count("value").alias("k")).where(F.col("k") >= n_times)
-    rows = daily.join(good.select("product", "ncol"), ["product", "ncol"], "left_semi").join(F.broadcast(area), "ncol")
+    rows = daily.join(good.select("product", "ncol"), ["product", "ncol"], "left_semi").join(area, "ncol")
     return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col("value") * F.col("area")), F.sum(F.when(F.col("value").isNotNull(), F.col("area")))).alias("value"))
 
 

@@ -9,11 +9,25 @@ from zonalis.functions.columns import draw
 
 from .matching import drop_twins
 
+#: Ranges of the draw in which folds are dealt; their counts are the only rows ranked together.
+N_RANGES = 4096
+
 
 def kfold_assign(members: DataFrame, k: int, seed: int) -> DataFrame:
-    """(member, fold 0..k-1): shuffled, the first n % k folds one larger."""
-    rows = members.select("member").distinct().withColumn("u", draw(F.col("member"), 0, seed))
-    return rows.select("member", (F.ntile(k).over(Window.orderBy("u", "member")) - 1).alias("fold"))
+    """(member, fold 0..k-1): shuffled, the first n % k folds one larger.
+
+    Members are ranked inside ranges of their draw; the counts of the ranges, of which there are
+    N_RANGES at most, give each range its first rank.
+    """
+    rows = members.select("member").distinct().withColumn("u", draw(F.col("member"), 0, seed)).withColumn("range", F.floor(F.col("u") * N_RANGES))
+    counts = rows.groupBy("range").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
+    i = F.col("first") + F.row_number().over(Window.partitionBy("range").orderBy("u", "member")) - 1
+    small = F.floor(F.col("n") / k)
+    large = (F.col("n") % k) * (small + 1)
+    fold = F.when(F.col("i") < large, F.floor(F.col("i") / (small + 1))).otherwise(F.col("n") % k + F.floor((F.col("i") - large) / F.greatest(small, F.lit(1))))
+    return rows.join(F.broadcast(counts), "range").withColumn("i", i).select("member", fold.cast("int").alias("fold"))
 
 
 def kfold_train_test(folds: DataFrame, k: int) -> DataFrame:

@@ -26,14 +26,14 @@ def wmean_legacy(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def zonal_mean(field: DataFrame, grid: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    cells = field.join(F.broadcast(grid), "ncol").withColumn("band", lat_band(F.col("lat")))
+    cells = field.join(grid, "ncol").withColumn("band", lat_band(F.col("lat")))
     return wmean_valid(cells.where("band is not null"), [*keys, "band"])
 
 
 def zonal_mean_legacy(field: DataFrame, grid: DataFrame, keys: list[str] = KEYS, width: float = 10.0) -> DataFrame:
     """Older bands, open on both sides: a cell on an edge is in none."""
     inside = (F.col("lat") + 90.0) % width != 0
-    cells = field.join(F.broadcast(grid), "ncol").where(inside).withColumn("band", lat_band(F.col("lat"), width))
+    cells = field.join(grid, "ncol").where(inside).withColumn("band", lat_band(F.col("lat"), width))
     return wmean_legacy(cells.where("band is not null"), [*keys, "band"])
 
 
@@ -41,7 +41,7 @@ def zonal_mean_dlat(field: DataFrame, grid: DataFrame, keys: list[str], lat1: fl
     """Bins centred on lat1, lat1 + dlat ... lat2, half open; with cell counts, empty bins as missing."""
     n = round((lat2 - lat1) / dlat) + 1
     centre = F.sequence(F.lit(0), F.lit(n - 1))
-    cells = field.join(F.broadcast(grid), "ncol").withColumn("bin", F.floor((F.col("lat") - lat1 + dlat / 2) / dlat).cast("int"))
+    cells = field.join(grid, "ncol").withColumn("bin", F.floor((F.col("lat") - lat1 + dlat / 2) / dlat).cast("int"))
     found = cells.where((F.col("bin") >= 0) & (F.col("bin") < n)).groupBy(*keys, "bin").agg(
         weighted_mean(F.col("value"), F.col("area")).alias("value"), F.count("value").alias("n_cells"))
     every = field.select(*keys).distinct().select(*keys, F.explode(centre).alias("bin"))
@@ -51,12 +51,12 @@ def zonal_mean_dlat(field: DataFrame, grid: DataFrame, keys: list[str], lat1: fl
 
 def regional_mean(field: DataFrame, grid: DataFrame, regions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """A cell counts in every region that it is in."""
-    cells = field.join(F.broadcast(grid), "ncol").join(F.broadcast(regions), "ncol")
+    cells = field.join(grid, "ncol").join(regions, "ncol")
     return wmean_valid(cells, [*keys, "region"])
 
 
 def global_mean(field: DataFrame, grid: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return wmean_valid(field.join(F.broadcast(grid), "ncol"), keys)
+    return wmean_valid(field.join(grid, "ncol"), keys)
 
 
 def region_area_weights(grid: DataFrame, regions: DataFrame, land: DataFrame) -> DataFrame:
@@ -68,14 +68,15 @@ def region_area_weights(grid: DataFrame, regions: DataFrame, land: DataFrame) ->
 def zrg_all(field: DataFrame, grid: DataFrame, regions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, block, loc, value): all three blocks in one pass.
 
-    Cells in no band or region still count globally. grid and regions are small geometry tables.
+    Cells in no band or region still count globally. grid and regions are broadcast only below the
+    engine's own size limit.
     """
     inside = regions.groupBy("ncol").agg(F.collect_set("region").alias("regions"))
     places = grid.join(inside, "ncol", "left").select("ncol", "area", F.array_compact(F.concat(
         F.array(F.struct(F.lit("global").alias("block"), F.lit("global").alias("loc")),
                 F.when(lat_band(F.col("lat")).isNotNull(), F.struct(F.lit("zonal").alias("block"), band_centre(lat_band(F.col("lat"))).cast("string").alias("loc")))),
         F.transform(F.coalesce("regions", F.array().cast("array<string>")), lambda r: F.struct(F.lit("regional").alias("block"), r.alias("loc"))))).alias("at"))
-    cells = field.join(F.broadcast(places), "ncol").select(*keys, "value", "area", F.inline("at"))
+    cells = field.join(places, "ncol").select(*keys, "value", "area", F.inline("at"))
     return wmean_valid(cells, [*keys, "block", "loc"])
 
 

@@ -230,7 +230,7 @@ WM = "round(sum(value * area) / nullif(sum(CASE WHEN value IS NOT NULL THEN area
 
 @query("wmean_valid", fx.sql(f"SELECT o.snapshot, o.variable, {WM} AS value FROM obs_field o JOIN grid USING (ncol) GROUP BY ALL"))
 def wmean_valid(spark, d):
-    return rounded(zrg.wmean_valid(_obs(spark, d).join(F.broadcast(fx.grid(spark, d)), "ncol"), ["snapshot", "variable"]), "value")
+    return rounded(zrg.wmean_valid(_obs(spark, d).join(fx.grid(spark, d), "ncol"), ["snapshot", "variable"]), "value")
 
 
 @query("wmean_legacy", fx.sql("SELECT o.snapshot, o.variable, CAST(floor((lat + 90e0) / 10e0) AS INTEGER) AS band, round(sum(value * area) / sum(area), 6) AS value FROM obs_field o JOIN grid USING (ncol) WHERE (lat + 90e0) % 10e0 <> 0 GROUP BY ALL"))
@@ -290,7 +290,7 @@ def zrg_wide(spark, d):
     return rounded(zrg.zrg_wide(rows, names, ["member", "snapshot", "variable"], "loc"), *names)
 
 
-@query("snapshot_merge", fx.sql("SELECT coalesce(a.member, b.member) AS member, coalesce(a.variable, b.variable) AS variable, coalesce(a.ncol, b.ncol) AS ncol, round(coalesce(a.value, b.value), 6) AS value FROM (SELECT * FROM field WHERE snapshot = 1996) a FULL JOIN (SELECT * FROM field WHERE snapshot = 1999) b ON a.member = b.member AND a.variable = b.variable AND a.ncol = b.ncol"))
+@query("snapshot_merge", fx.sql("SELECT member, variable, ncol, round(coalesce(max(value) FILTER (WHERE snapshot = 1996), max(value) FILTER (WHERE snapshot = 1999)), 6) AS value FROM field GROUP BY ALL"))
 def snapshot_merge(spark, d):
     f = fx.field(spark, d)
     return rounded(zrg.snapshot_merge(f.where("snapshot = 1996"), f.where("snapshot = 1999"), ["member", "variable", "ncol"]), "value")
@@ -352,5 +352,5 @@ def ensemble_spread(spark, d):
 @query("join_cell", fx.sql("SELECT f.variable, f.snapshot, count(*) AS n, round(sum((f.value - o.value) * g.area), 2) AS total FROM field f JOIN obs_field o ON o.snapshot = f.snapshot AND o.variable = f.variable AND o.ncol = f.ncol JOIN grid g ON g.ncol = f.ncol GROUP BY ALL"))
 def join_cell(spark, d):
     o = _obs(spark, d).withColumnRenamed("value", "obs")
-    rows = fx.field(spark, d).join(o, ["snapshot", "variable", "ncol"]).join(F.broadcast(fx.grid(spark, d)), "ncol")
+    rows = fx.field(spark, d).join(o, ["snapshot", "variable", "ncol"]).join(fx.grid(spark, d), "ncol")
     return rounded(rows.groupBy("variable", "snapshot").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") - F.col("obs")) * F.col("area")).alias("total")), "total", digits=2)

@@ -10,7 +10,14 @@ from zonalis.sources import fixtures as fx
 from .registry import query, rounded
 from .skill_queries import PAIRS, K, _folds, _level, _pairs, _x
 
-BOX3 = [(0.0, 1.0), (-1.0, 1.0), (2.0, 4.0)]
+#: The sampled ranges of the first three parameters.
+BOX = "box AS (SELECT " + ", ".join(f"{f}(value) FILTER (WHERE param = {k}) AS {n}{k}" for k in range(3) for f, n in (("min", "lo"), ("max", "hi"))) + " FROM params)"
+
+
+def _box(spark, d):
+    """Three rows, one for each parameter, come to the driver."""
+    r = fx.params(spark, d).where("param < 3").groupBy("param").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+    return [(x["lo"], x["hi"]) for x in sorted(r, key=lambda x: x["param"])]
 
 
 def _u(key: str, k: str, seed: int) -> str:
@@ -20,10 +27,10 @@ def _u(key: str, k: str, seed: int) -> str:
 IDS = "ids AS (SELECT i FROM (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS i))"
 
 
-@query("starts_uniform", fx.sql(f"SELECT i AS start_idx, CAST(floor({_u('i', '3', 7)} * 2147483648e0) AS BIGINT) AS seed, round({_u('i', '0', 7)}, 6) AS x0, round(-1e0 + {_u('i', '1', 7)} * 2e0, 6) AS x1, round(2e0 + {_u('i', '2', 7)} * 2e0, 6) AS x2 FROM ids", IDS))
+@query("starts_uniform", fx.sql(f"SELECT i AS start_idx, CAST(floor({_u('i', '3', 7)} * 2147483648e0) AS BIGINT) AS seed, round(lo0 + {_u('i', '0', 7)} * (hi0 - lo0), 6) AS x0, round(lo1 + {_u('i', '1', 7)} * (hi1 - lo1), 6) AS x1, round(lo2 + {_u('i', '2', 7)} * (hi2 - lo2), 6) AS x2 FROM ids, box", BOX, IDS))
 def starts_uniform(spark, d):
     n = fx.read(spark, d, "embeddings").count()
-    s = search.starts_uniform(spark, n, BOX3, 7)
+    s = search.starts_uniform(spark, n, _box(spark, d), 7)
     return rounded(s.select("start_idx", "seed", *(F.get("x", F.lit(k)).alias(f"x{k}") for k in range(3))), "x0", "x1", "x2")
 
 
@@ -79,42 +86,47 @@ def _quadratic(target: list[float]):
 
 @query("search_multistart")
 def search_multistart(spark, d):
-    """Every tenth result point starts a search for the first member's own parameters."""
+    """Every result point starts a search for the first member's own parameters."""
     r = fx.results(spark, d)
     goal = [min(max(v, -1.0), 1.0) for v in r.where("start_idx = 0").first()["x"][:3]]
-    starts = r.where("start_idx % 10 = 0").select("start_idx", F.transform(F.slice("x", 1, 3), lambda v: F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0))).alias("x"))
+    starts = r.select("start_idx", F.transform(F.slice("x", 1, 3), lambda v: F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0))).alias("x"))
     return search.search_multistart(starts, _quadratic(goal), [(-1.0, 1.0)] * 3, rounds=6)
 
 
 KRON = "frac AS (SELECT i, k, (i + 1) * sqrt(p) - floor((i + 1) * sqrt(p)) AS u FROM ids, (SELECT unnest(range(6)) AS k, unnest([2e0, 3e0, 5e0, 7e0, 11e0, 13e0]) AS p))"
 AB = "ab AS (SELECT i, list(u ORDER BY k) FILTER (WHERE k < 3) AS a, list(u ORDER BY k) FILTER (WHERE k >= 3) AS b FROM frac GROUP BY i)"
-DESIGN = "design AS (SELECT i AS row, CAST(m AS INTEGER) AS matrix, CASE WHEN m = -2 OR m = 0 THEN b[1] ELSE a[1] END AS x0, -1e0 + 2e0 * CASE WHEN m = -2 OR m = 1 THEN b[2] ELSE a[2] END AS x1, 2e0 + 2e0 * CASE WHEN m = -2 OR m = 2 THEN b[3] ELSE a[3] END AS x2 FROM ab, (SELECT unnest([-2, -1, 0, 1, 2]) AS m))"
+DESIGN = "design AS (SELECT i AS row, CAST(m AS INTEGER) AS matrix, lo0 + (hi0 - lo0) * CASE WHEN m = -2 OR m = 0 THEN b[1] ELSE a[1] END AS x0, lo1 + (hi1 - lo1) * CASE WHEN m = -2 OR m = 1 THEN b[2] ELSE a[2] END AS x1, lo2 + (hi2 - lo2) * CASE WHEN m = -2 OR m = 2 THEN b[3] ELSE a[3] END AS x2 FROM ab, box, (SELECT unnest([-2, -1, 0, 1, 2]) AS m))"
 
 
 def _design(spark, d):
     n = fx.read(spark, d, "embeddings").count()
-    return sensitivity.saltelli_design(spark, n, BOX3)
+    return sensitivity.saltelli_design(spark, n, _box(spark, d))
 
 
-@query("saltelli_design", fx.sql("SELECT row, matrix, round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2 FROM design", IDS, KRON, AB, DESIGN))
+@query("saltelli_design", fx.sql("SELECT row, matrix, round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2 FROM design", BOX, IDS, KRON, AB, DESIGN))
 def saltelli_design(spark, d):
     s = _design(spark, d)
     return rounded(s.select("row", "matrix", *(F.get("x", F.lit(k)).alias(f"x{k}") for k in range(3))), "x0", "x1", "x2")
 
 
-SCORED = "scored AS (SELECT v AS variable, f AS feat_idx, row, matrix, (f + 1) * x0 + v * x1 * x1 + x2 * x0 AS value FROM design, (SELECT unnest(range(4)) AS v), (SELECT unnest(range(3)) AS f))"
+#: A linear surrogate of each output, from sums over all members.
+SLOPES = "slopes AS (SELECT variable, feat_idx, max(s) FILTER (WHERE param = 0) AS s0, max(s) FILTER (WHERE param = 1) AS s1, max(s) FILTER (WHERE param = 2) AS s2 FROM (SELECT variable, feat_idx, param, regr_slope(o.value, p.value) AS s FROM outputs o JOIN params p USING (member) WHERE o.level = 0 AND param < 3 GROUP BY ALL) GROUP BY ALL)"
+SCORED = "scored AS (SELECT variable, feat_idx, row, matrix, slopes.s0 * x0 + slopes.s1 * x1 + slopes.s2 * x2 AS value FROM design, slopes)"
 SOBOL = """s1 AS (SELECT variable, feat_idx, row, max(value) FILTER (WHERE matrix = -1) AS a, max(value) FILTER (WHERE matrix = -2) AS b FROM scored GROUP BY ALL),
 s2 AS (SELECT variable, feat_idx, var_pop(v) AS var FROM (SELECT variable, feat_idx, a AS v FROM s1 UNION ALL SELECT variable, feat_idx, b FROM s1) GROUP BY ALL),
 sob AS (SELECT variable, feat_idx, matrix AS param, avg(b * (value - a)) / any_value(var) AS s1, 0.5e0 * avg((a - value) * (a - value)) / any_value(var) AS st, any_value(var) AS var FROM scored JOIN s1 USING (variable, feat_idx, row) JOIN s2 USING (variable, feat_idx) WHERE matrix >= 0 GROUP BY ALL)"""
 
 
 def _scored(spark, d):
+    """Every design row under the surrogate of each of the 44 outputs."""
+    p = fx.params(spark, d).where("param < 3").withColumnRenamed("value", "x")
+    fit = _level(spark, d, 0).join(p, "member").groupBy(*K, "param").agg(F.regr_slope("value", "x").alias("s"))
+    fit = fit.groupBy(*K).agg(*(F.max(F.when(F.col("param") == k, F.col("s"))).alias(f"s{k}") for k in range(3)))
     x = lambda k: F.get("x", F.lit(k))
-    rows = _design(spark, d).crossJoin(spark.range(4).select(F.col("id").cast("int").alias("variable"))).crossJoin(spark.range(3).select(F.col("id").cast("int").alias("feat_idx")))
-    return rows.select("variable", "feat_idx", "row", "matrix", ((F.col("feat_idx") + 1) * x(0) + F.col("variable") * x(1) * x(1) + x(2) * x(0)).alias("value"))
+    return _design(spark, d).crossJoin(F.broadcast(fit)).select(*K, "row", "matrix", sum(F.col(f"s{k}") * x(k) for k in range(3)).alias("value"))
 
 
-@query("sobol_indices", fx.sql("SELECT variable, feat_idx, param, round(s1, 6) AS s1, round(st, 6) AS st, round(var, 6) AS var FROM sob", IDS, KRON, AB, DESIGN, SCORED, SOBOL))
+@query("sobol_indices", fx.sql("SELECT variable, feat_idx, param, round(s1, 6) AS s1, round(st, 6) AS st, round(var, 6) AS var FROM sob", BOX, IDS, KRON, AB, DESIGN, SLOPES, SCORED, SOBOL))
 def sobol_indices(spark, d):
     return rounded(sensitivity.sobol_indices(_scored(spark, d), K), "s1", "st", "var")
 
@@ -124,29 +136,37 @@ def sobol_bootstrap(spark, d):
     return sensitivity.sobol_bootstrap(_scored(spark, d), K, 20)
 
 
-@query("sobol_summary", fx.sql("SELECT variable, param, round(sum(st * var) / sum(var), 6) AS st, round(sum(s1 * var) / sum(var), 6) AS s1 FROM sob GROUP BY ALL", IDS, KRON, AB, DESIGN, SCORED, SOBOL))
+@query("sobol_summary", fx.sql("SELECT variable, param, round(sum(st * var) / sum(var), 6) AS st, round(sum(s1 * var) / sum(var), 6) AS s1 FROM sob GROUP BY ALL", BOX, IDS, KRON, AB, DESIGN, SLOPES, SCORED, SOBOL))
 def sobol_summary(spark, d):
     return rounded(sensitivity.sobol_summary(sensitivity.sobol_indices(_scored(spark, d), K)), "st", "s1")
 
 
+def _centre(spark, d):
+    r = fx.params(spark, d).where("param < 3").groupBy("param").agg(F.avg("value").alias("m")).collect()
+    return [x["m"] for x in sorted(r, key=lambda x: x["param"])]
+
+
 def _hessian(spark, d):
-    """Stencil around the mean of the first three parameters; the cost is their mean squared distance to the members."""
-    m = fx.params(spark, d).where("param < 3").groupBy("param").agg(F.avg("value").alias("m"), F.avg(F.col("value") ** 2).alias("q"))
-    got = {r["param"]: (r["m"], r["q"]) for r in m.collect()}
-    probes = sensitivity.hessian_probes(spark, [0.1, 0.0, -0.1], [0.05] * 3, [(-1.0, 1.0)] * 3)
-    x = lambda k: F.get("x", F.lit(k))
-    cost = sum((x(k) * x(k) - 2 * got[k][0] * x(k) + got[k][1]) * (k + 1) for k in range(3)) + x(0) * x(1)
-    return sensitivity.hessian(probes.withColumn("cost", cost))
+    """Stencil around the mean of the first three parameters; the cost is a mean of fourth powers over all members."""
+    probes = sensitivity.hessian_probes(spark, _centre(spark, d), [0.05] * 3, _box(spark, d))
+    e = fx.vectors(spark, d).select(*(F.get("e", F.lit(k)).alias(f"p{k}") for k in range(3)))
+    gap = [F.get("x", F.lit(k)) - F.col(f"p{k}") for k in range(3)]
+    far = sum(g**4 * (k + 1.0) for k, g in enumerate(gap)) + gap[0] ** 2 * gap[1] ** 2
+    return sensitivity.hessian(e.crossJoin(F.broadcast(probes)).groupBy(*probes.columns).agg(F.avg(far).alias("cost")))
+
+
+MOMENTS = "mo AS (SELECT i, j, any_value(least(0.05e0, m[i + 1] - lo[i + 1], hi[i + 1] - m[i + 1])) AS h, any_value(least(0.05e0, m[1] - lo[1], hi[1] - m[1])) AS h0, avg((m[i + 1] - e[i + 1]) * (m[j + 1] - e[j + 1])) AS c, avg((m[2 - i % 2] - e[2 - i % 2]) * (m[2 - i % 2] - e[2 - i % 2])) AS other FROM vectors, (SELECT list(m ORDER BY param) AS m, list(l ORDER BY param) AS lo, list(h ORDER BY param) AS hi FROM (SELECT param, avg(value) AS m, min(value) AS l, max(value) AS h FROM params WHERE param < 3 GROUP BY param)), (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j) WHERE i <= j GROUP BY i, j)"
 
 
-@query("hessian_stencil", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN i = j THEN 2e0 * (i + 1) WHEN i = 0 AND j = 1 THEN 1e0 ELSE 0e0 END, 6) AS h FROM (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j) WHERE i <= j AND EXISTS (SELECT 1 FROM embeddings)")
+# The stencil of a fourth power is 12 g^2 + 2 h^2, that of the product of squares 2 g^2 of the other one, and 4 g g' across.
+@query("hessian_stencil", fx.sql("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN i = j THEN (i + 1) * (12e0 * c + 2e0 * h * h) + CASE WHEN i < 2 THEN 2e0 * other ELSE 0e0 END WHEN i = 0 AND j = 1 THEN 4e0 * c ELSE 0e0 END, 6) AS h FROM mo", MOMENTS))
 def hessian_stencil(spark, d):
     return rounded(_hessian(spark, d), "h")
 
 
 @query("param_uncertainty")
 def param_uncertainty(spark, d):
-    return sensitivity.param_uncertainty(spark, _hessian(spark, d), [0.1, 0.0, -0.1], [(-1.0, 1.0)] * 3)
+    return sensitivity.param_uncertainty(spark, _hessian(spark, d), _centre(spark, d), _box(spark, d))
 
 
 @query("cov_slices", fx.sql("SELECT member, round(c / (a * c - b * b), 6) AS vii, round(a / (a * c - b * b), 6) AS vjj, round(-b / (a * c - b * b), 6) AS vij, round(1 / a, 6) AS naive_i, round(1 / c, 6) AS naive_j FROM (SELECT member, 2e0 + abs(e[1]) AS a, e[2] AS b, 2e0 + abs(e[3]) AS c FROM vectors)"))
@@ -213,7 +233,7 @@ def sigma_mle(spark, d):
 
 @query("sigma_mle_refined")
 def sigma_mle_refined(spark, d):
-    return errors.sigma_mle(_res(spark, d).where("block <> 'global'"), VB, points=60)
+    return errors.sigma_mle(_res(spark, d), VB, points=60)
 
 
 @query("residual_step", fx.sql("SELECT variable, block, round(sqrt(avg((obs - mean) * (obs - mean))), 6) AS rms_residual, round(sqrt(avg(var)), 6) AS rms_sd, round(avg((obs - mean) * (obs - mean) / ((var + 0.1e0) * 2e0)), 6) AS chi2 FROM cost_blocks GROUP BY ALL"))
@@ -263,12 +283,12 @@ def footprint_mean(spark, d):
 @query("error_propagation", "WITH e AS (SELECT l_partkey AS ncol, month(l_shipdate) AS m, avg(l_tax) AS sigma FROM lineitem GROUP BY ALL), x AS (SELECT m, sum(p_size * sigma) / sum(p_size) AS f, sqrt(sum(p_size * sigma * p_size * sigma)) / sum(p_size) AS i FROM e JOIN part ON ncol = p_partkey GROUP BY m) SELECT round(avg(f), 6) AS correlated, round(sqrt(sum(i * i)) / 12, 6) AS independent FROM x")
 def error_propagation(spark, d):
     e = fx.read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("ncol"), F.month("l_shipdate").alias("month")).agg(F.avg("l_tax").alias("sigma"))
-    return rounded(errors.error_propagation(e.join(F.broadcast(fx.grid(spark, d)), "ncol")), "correlated", "independent")
+    return rounded(errors.error_propagation(e.join(fx.grid(spark, d), "ncol")), "correlated", "independent")
 
 
 @query("cos_lat_mean", fx.sql("SELECT snapshot, variable, round(sum(value * cos(radians(lat))) / sum(CASE WHEN value IS NOT NULL THEN cos(radians(lat)) END), 6) AS value FROM obs_field JOIN grid USING (ncol) GROUP BY ALL"))
 def cos_lat_mean(spark, d):
-    return rounded(errors.cos_lat_mean(fx.obs_field(spark, d).join(F.broadcast(fx.grid(spark, d)), "ncol"), ["snapshot", "variable"]), "value")
+    return rounded(errors.cos_lat_mean(fx.obs_field(spark, d).join(fx.grid(spark, d), "ncol"), ["snapshot", "variable"]), "value")
 
 
 @query("obs_error_fraction", fx.sql("SELECT variable, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS scale, round(0.2e0 / stddev_pop(value), 6) AS fraction FROM outputs WHERE level = 0 AND feat_idx = 10 GROUP BY variable"))
@@ -280,13 +300,13 @@ def obs_error_fraction(spark, d):
     return rounded(errors.obs_error_fraction(spec, s).select("variable", "mean", "scale", "fraction"), "mean", "scale", "fraction")
 
 
-SCEN = "sc AS (SELECT 's' || cand_id AS scenario, variable, feat_idx, mean AS pred, obs FROM cost_blocks WHERE cand_id % 100 < 3)"
+SCEN = "sc AS (SELECT 's' || cand_id AS scenario, variable, feat_idx, mean AS pred, obs FROM cost_blocks)"
 
 
 def _scenarios(spark, d):
     from .skill_queries import _cost_rows
 
-    return _cost_rows(spark, d).where("cand_id % 100 < 3").select(F.concat(F.lit("s"), F.col("cand_id").cast("string")).alias("scenario"), *K, F.col("mean").alias("pred"), "obs")
+    return _cost_rows(spark, d).select(F.concat(F.lit("s"), F.col("cand_id").cast("string")).alias("scenario"), *K, F.col("mean").alias("pred"), "obs")
 
 
 RANKED = "rk AS (SELECT *, row_number() OVER (PARTITION BY variable, feat_idx ORDER BY abs(pred - obs), scenario) AS rank, count(*) OVER (PARTITION BY variable, feat_idx) AS n FROM sc)"
@@ -307,7 +327,7 @@ def error_extremes(spark, d):
     return rounded(compare.error_extremes(_scenarios(spark, d), ["variable"]), "most", "least", "mean")
 
 
-@query("anomaly_to_default", fx.sql("SELECT a.member, a.variable, a.feat_idx, round(a.value - b.value, 6) AS anomaly FROM outputs a JOIN outputs b ON a.variable = b.variable AND a.feat_idx = b.feat_idx WHERE a.level = 2 AND b.level = 2 AND b.member = 0"))
+@query("anomaly_to_default", fx.sql("SELECT member, variable, feat_idx, round(value - control, 6) AS anomaly FROM (SELECT member, variable, feat_idx, value, max(value) FILTER (WHERE member = 0) OVER (PARTITION BY variable, feat_idx) AS control FROM outputs WHERE level = 2)"))
 def anomaly_to_default(spark, d):
     top = _level(spark, d, 2)
     return rounded(compare.anomaly_to_default(top, top.where("member = 0"), K).select("member", *K, "anomaly"), "anomaly")
@@ -327,11 +347,11 @@ def level_spread_compare(spark, d):
     return rounded(compare.level_spread_compare(a, b, K).select(*K, "mean_a", "mean_b", "overlap"), "mean_a", "mean_b")
 
 
-@query("calib_param_path", fx.sql("SELECT CAST(member AS INTEGER) AS round, param, round(value, 6) AS value, value - lo <= 1e-3 * (hi - lo) OR hi - value <= 1e-3 * (hi - lo) AS at_bound FROM params JOIN (SELECT param, min(value) AS lo, max(value) AS hi FROM params GROUP BY param) USING (param) WHERE member < 7"))
+@query("calib_param_path", fx.sql("SELECT CAST(member AS INTEGER) AS round, param, round(value, 6) AS value, value - lo <= 1e-3 * (hi - lo) OR hi - value <= 1e-3 * (hi - lo) AS at_bound FROM params JOIN (SELECT param, min(value) AS lo, max(value) AS hi FROM params GROUP BY param) USING (param)"))
 def calib_param_path(spark, d):
     p = fx.params(spark, d)
     box = p.groupBy("param").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    r = _x(spark, d).where("member < 7").select(F.col("member").cast("int").alias("round"), "x")
+    r = _x(spark, d).select(F.col("member").cast("int").alias("round"), "x")
     return rounded(compare.calib_param_path(r, box), "value")
 
 
@@ -374,7 +394,7 @@ def model_hyper_table(spark, d):
 def kfold_eval(spark, d):
     from zonalis.operators.splits import kfold_train_test
 
-    roles = kfold_train_test(_folds(spark, d), 2).where("k < 2")
+    roles = kfold_train_test(_folds(spark, d), 5)
     return surrogate.kfold_eval(_training(spark, d, [1]), roles, steps=6)
 
 

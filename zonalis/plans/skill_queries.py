@@ -162,6 +162,21 @@ def _folds(spark, d):
     return splits.kfold_assign(_x(spark, d, 4), 5, 2)
 
 
+@query("layout_check", fx.sql("SELECT cand_id, count(*) AS n FROM predictions WHERE mean > -0.2e0 GROUP BY cand_id HAVING count(*) <> 44"))
+def layout_check(spark, d):
+    """Candidates whose rows are not complete once low means are left out."""
+    from zonalis.operators.costs import layout_faults
+
+    return layout_faults(fx.predictions(spark, d).where("mean > -0.2"), 44)
+
+
+@query("r_critical")
+def r_critical(spark, d):
+    """The significant correlation at each group's number of members."""
+    sizes = fx.results(spark, d).groupBy("seed").count().select("count").distinct().where("count > 3").orderBy("count").limit(1000)
+    return metrics.r_critical(spark, [r["count"] for r in sizes.collect()])
+
+
 @query("kfold_assign", fx.sql("SELECT * FROM folds", FOLDS))
 def kfold_assign(spark, d):
     return _folds(spark, d)
@@ -237,7 +252,7 @@ def rmse_pooled(spark, d):
 @query("area_weighted_error", fx.sql("SELECT member, variable, round(sum(w * x) / sum(w), 6) AS bias, round(sum(w * abs(x)) / sum(w), 6) AS mae, round(sqrt(sum(w * x * x) / sum(w)), 6) AS rmse FROM (SELECT f.member, f.variable, f.value - o.value AS x, CASE WHEN o.value IS NOT NULL THEN g.area END AS w FROM field f JOIN obs_field o ON f.snapshot = o.snapshot AND f.variable = o.variable AND f.ncol = o.ncol JOIN grid g ON g.ncol = f.ncol WHERE f.snapshot = 1996) GROUP BY ALL"))
 def area_weighted_error(spark, d):
     o = fx.obs_field(spark, d).select("snapshot", "variable", "ncol", F.col("value").alias("truth"))
-    rows = fx.field(spark, d).where("snapshot = 1996").withColumnRenamed("value", "pred").join(o, ["snapshot", "variable", "ncol"]).join(F.broadcast(fx.grid(spark, d)), "ncol")
+    rows = fx.field(spark, d).where("snapshot = 1996").withColumnRenamed("value", "pred").join(o, ["snapshot", "variable", "ncol"]).join(fx.grid(spark, d), "ncol")
     return rounded(metrics.area_weighted_error(rows, ["member", "variable"]), "bias", "mae", "rmse")
 
 
