@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.columns import member_index, rescale
 
+from .neighbours import nearest_neighbor as nearest_neighbor
+
 
 def _apart(a: str, b: str) -> Column:
     """Largest absolute difference of two vectors."""
@@ -60,20 +62,6 @@ def scaled_points(points: DataFrame, box: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("param", "u"))), lambda s: s["u"]).alias("x"))
 
 
-def nearest_neighbor(points: DataFrame, training: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """(id, nearest, dist): Euclidean distance to the nearest training point.
-
-    The training design is a few thousand points, so each query point meets all of them; the
-    self form leaves a point itself out.
-    """
-    t = training.select(F.col("id").alias("nearest"), F.col("x").alias("t"))
-    both = points.crossJoin(F.broadcast(t))
-    if exclude_self:
-        both = both.where("id <> nearest")
-    d = F.sqrt(F.aggregate(F.zip_with("x", "t", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    return both.select("id", "nearest", d.alias("dist")).groupBy("id").agg(F.min(F.struct("dist", "nearest")).alias("m")).select("id", "m.nearest", "m.dist")
-
-
 def nearest_member_field(field: DataFrame, run: DataFrame) -> DataFrame:
     """(variable, member, rmse): the ensemble member whose field is closest to a run's; variable 'all' sums over variables."""
     both = field.join(run.select("variable", "ncol", F.col("value").alias("ref")), ["variable", "ncol"])

@@ -217,47 +217,6 @@ def model_hyper_table(models: DataFrame) -> DataFrame:
     return rows.groupBy("variable").agg(*(f(c).alias(f"{c}_{n}") for c in ("share", "rho", "length", "noise") for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))))
 
 
-def kfold_eval(training: DataFrame, roles: DataFrame, steps: int = 20) -> DataFrame:
-    """(k, variable, feat_idx, member, truth, pred, var): all folds in one job; each fold's scalers see training rows only.
-
-    training: (variable, feat_idx, level, member, x, y); roles: (k, member, role) over top-level members.
-    """
-    top = training.agg(F.max("level")).first()[0]
-    rows = training.join(F.broadcast(roles), "member", "left").where("k is not null")
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held = (rows["role"] == "test") & (rows["level"] == top)
-        train, test = rows[~held].copy(), rows[held]
-        mean, sd = train.loc[train["level"] == top, "y"].mean(), train.loc[train["level"] == top, "y"].std(ddof=0) or 1.0
-        train["y"] = (train["y"] - mean) / sd
-        model = Chain.load(_fit_group(train, "auto", steps)["model"].iloc[0])
-        m, v = model.predict(np.array(test["x"].tolist(), dtype=float).reshape(len(test), -1))
-        return pd.DataFrame({"k": key[0], "variable": key[1], "feat_idx": key[2], "member": test["member"], "truth": test["y"], "pred": m * sd + mean, "var": v * sd * sd})
-
-    return rows.groupBy("k", "variable", "feat_idx").applyInPandas(one, "k int, variable int, feat_idx int, member bigint, truth double, pred double, var double")
-
-
-def fit_poly(training: DataFrame, degree: int = 2, ridge: float = 1e-8) -> DataFrame:
-    """(variable, feat_idx, coef array<double>) of least squares on powers of each parameter and their products up to the degree."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("member")
-        a = poly_terms(np.array(rows["x"].tolist(), dtype=float), degree)
-        w = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ rows["y"].to_numpy(dtype=float))
-        return pd.DataFrame({"variable": [rows["variable"].iloc[0]], "feat_idx": [rows["feat_idx"].iloc[0]], "coef": [w.tolist()]})
-
-    return training.groupBy("variable", "feat_idx").applyInPandas(one, "variable int, feat_idx int, coef array<double>")
-
-
-def poly_terms(x: np.ndarray, degree: int) -> np.ndarray:
-    """1, the parameters, and for degree 2 all their products."""
-    cols = [np.ones((len(x), 1)), x]
-    if degree >= 2:
-        i, j = np.triu_indices(x.shape[1])
-        cols.append(x[:, i] * x[:, j])
-    return np.hstack(cols)
-
-
 def fit_linear_sums(training: DataFrame) -> DataFrame:
     """(variable, feat_idx, slope, intercept) of the one-parameter form; training: x (a number), y."""
     s = training.groupBy("variable", "feat_idx").agg(F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("v"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
@@ -274,11 +233,6 @@ def fit_forest(training: DataFrame, trees: int = 20, depth: int = 6, seed: int =
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
-def partial_dependence(scored: DataFrame, keep: list[str], value: str = "value") -> DataFrame:
-    """Average over all parameters of a grid but those kept."""
-    return scored.groupBy(*keep).agg(F.avg(value).alias(value))
-
-
 def project_best(predictions: DataFrame, best: DataFrame, scaler: DataFrame, obs: DataFrame, default: DataFrame) -> DataFrame:
     """Prediction at the best candidate in physical units, beside observation and control run."""
     p = predictions.join(F.broadcast(best.select("cand_id")), "cand_id").join(F.broadcast(scaler), ["variable", "feat_idx"])

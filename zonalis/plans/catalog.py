@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fields_queries, search_queries, skill_queries
+from . import fields_queries, search_queries, skill_queries, surrogate_queries
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "fields_queries", "search_queries", "skill_queries"]
+__all__ = ["ORACLE", "QUERIES", "fields_queries", "search_queries", "skill_queries", "surrogate_queries"]

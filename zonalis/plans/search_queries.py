@@ -8,7 +8,7 @@ from zonalis.operators import compare, errors, search, sensitivity, surrogate, z
 from zonalis.sources import fixtures as fx
 
 from .registry import query, rounded
-from .skill_queries import PAIRS, K, _folds, _level, _pairs, _x
+from .skill_queries import PAIRS, K, _level, _pairs, _x
 
 #: The sampled ranges of the first three parameters.
 BOX = "box AS (SELECT " + ", ".join(f"{f}(value) FILTER (WHERE param = {k}) AS {n}{k}" for k in range(3) for f, n in (("min", "lo"), ("max", "hi"))) + " FROM params)"
@@ -390,25 +390,12 @@ def model_hyper_table(spark, d):
     return surrogate.model_hyper_table(surrogate.fit_models(_training(spark, d, [1, 2]), steps=5))
 
 
-@query("kfold_eval")
-def kfold_eval(spark, d):
-    from zonalis.operators.splits import kfold_train_test
-
-    roles = kfold_train_test(_folds(spark, d), 5)
-    return surrogate.kfold_eval(_training(spark, d, [1]), roles, steps=6)
-
-
 @query("fit_linear", fx.sql("SELECT o.variable, o.feat_idx, round(regr_slope(o.value, p.value), 6) AS slope, round(regr_intercept(o.value, p.value), 6) AS intercept FROM outputs o JOIN params p USING (member) WHERE o.level = 0 AND p.param = 0 GROUP BY ALL"))
 def fit_linear(spark, d):
     t = _level(spark, d, 0).withColumnRenamed("value", "y").join(fx.params(spark, d).where("param = 0").select("member", F.col("value").alias("x")), "member")
     return rounded(surrogate.fit_linear_sums(t), "slope", "intercept")
 
 
-@query("fit_poly")
-def fit_poly(spark, d):
-    return surrogate.fit_poly(_training(spark, d, [1], "variable = 0"), 2)
-
-
 @query("fit_forest")
 def fit_forest(spark, d):
     t = _training(spark, d, [1], "variable = 0 and feat_idx = 0")
@@ -417,15 +404,6 @@ def fit_forest(spark, d):
     return surrogate.fit_forest(t, trees=5, depth=4).transform(t.select("member", "y", array_to_vector("x").alias("features"))).select("member", "y", "prediction")
 
 
-@query("partial_dependence", fx.sql("SELECT CAST(i AS INTEGER) AS p1, CAST(j AS INTEGER) AS p2, round(avg(2e0 * i * 0.25e0 + j * 0.25e0 * k * 0.25e0 + m), 6) AS value FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j), (SELECT unnest(range(5)) AS k), (SELECT avg(value) AS m FROM outputs WHERE level = 0) GROUP BY ALL"))
-def partial_dependence(spark, d):
-    ax = lambda n: spark.range(5).select(F.col("id").cast("int").alias(n))
-    mean = _level(spark, d, 0).agg(F.avg("value").alias("m"))
-    g = ax("p1").crossJoin(ax("p2")).crossJoin(ax("p3")).crossJoin(mean)
-    g = g.withColumn("value", 2.0 * F.col("p1") * 0.25 + F.col("p2") * 0.25 * F.col("p3") * 0.25 + F.col("m"))
-    return rounded(surrogate.partial_dependence(g, ["p1", "p2"]), "value")
-
-
 @query("project_best", fx.sql("SELECT p.variable, p.feat_idx, round(p.mean * s.scale + s.m, 6) AS pred, round(sqrt(var) * s.scale, 6) AS sd, round(obs, 6) AS obs, round(c.value, 6) AS control FROM predictions p JOIN (SELECT variable, feat_idx, avg(value) AS m, stddev_pop(value) AS scale FROM outputs WHERE level = 0 GROUP BY ALL) s USING (variable, feat_idx) JOIN observed USING (variable, feat_idx) JOIN (SELECT variable, feat_idx, value FROM outputs WHERE level = 0 AND member = 1) c USING (variable, feat_idx) WHERE cand_id = (SELECT start_idx FROM results ORDER BY cost, start_idx LIMIT 1)"))
 def project_best(spark, d):
     from zonalis.operators.scaling import fit_standard
