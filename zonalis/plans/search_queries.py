@@ -93,82 +93,6 @@ def search_multistart(spark, d):
     return search.search_multistart(starts, _quadratic(goal), [(-1.0, 1.0)] * 3, rounds=6)
 
 
-KRON = "frac AS (SELECT i, k, (i + 1) * sqrt(p) - floor((i + 1) * sqrt(p)) AS u FROM ids, (SELECT unnest(range(6)) AS k, unnest([2e0, 3e0, 5e0, 7e0, 11e0, 13e0]) AS p))"
-AB = "ab AS (SELECT i, list(u ORDER BY k) FILTER (WHERE k < 3) AS a, list(u ORDER BY k) FILTER (WHERE k >= 3) AS b FROM frac GROUP BY i)"
-DESIGN = "design AS (SELECT i AS row, CAST(m AS INTEGER) AS matrix, lo0 + (hi0 - lo0) * CASE WHEN m = -2 OR m = 0 THEN b[1] ELSE a[1] END AS x0, lo1 + (hi1 - lo1) * CASE WHEN m = -2 OR m = 1 THEN b[2] ELSE a[2] END AS x1, lo2 + (hi2 - lo2) * CASE WHEN m = -2 OR m = 2 THEN b[3] ELSE a[3] END AS x2 FROM ab, box, (SELECT unnest([-2, -1, 0, 1, 2]) AS m))"
-
-
-def _design(spark, d):
-    n = fx.read(spark, d, "embeddings").count()
-    return sensitivity.saltelli_design(spark, n, _box(spark, d))
-
-
-@query("saltelli_design", fx.sql("SELECT row, matrix, round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2 FROM design", BOX, IDS, KRON, AB, DESIGN))
-def saltelli_design(spark, d):
-    s = _design(spark, d)
-    return rounded(s.select("row", "matrix", *(F.get("x", F.lit(k)).alias(f"x{k}") for k in range(3))), "x0", "x1", "x2")
-
-
-#: A linear surrogate of each output, from sums over all members.
-SLOPES = "slopes AS (SELECT variable, feat_idx, max(s) FILTER (WHERE param = 0) AS s0, max(s) FILTER (WHERE param = 1) AS s1, max(s) FILTER (WHERE param = 2) AS s2 FROM (SELECT variable, feat_idx, param, regr_slope(o.value, p.value) AS s FROM outputs o JOIN params p USING (member) WHERE o.level = 0 AND param < 3 GROUP BY ALL) GROUP BY ALL)"
-SCORED = "scored AS (SELECT variable, feat_idx, row, matrix, slopes.s0 * x0 + slopes.s1 * x1 + slopes.s2 * x2 AS value FROM design, slopes)"
-SOBOL = """s1 AS (SELECT variable, feat_idx, row, max(value) FILTER (WHERE matrix = -1) AS a, max(value) FILTER (WHERE matrix = -2) AS b FROM scored GROUP BY ALL),
-s2 AS (SELECT variable, feat_idx, var_pop(v) AS var FROM (SELECT variable, feat_idx, a AS v FROM s1 UNION ALL SELECT variable, feat_idx, b FROM s1) GROUP BY ALL),
-sob AS (SELECT variable, feat_idx, matrix AS param, avg(b * (value - a)) / any_value(var) AS s1, 0.5e0 * avg((a - value) * (a - value)) / any_value(var) AS st, any_value(var) AS var FROM scored JOIN s1 USING (variable, feat_idx, row) JOIN s2 USING (variable, feat_idx) WHERE matrix >= 0 GROUP BY ALL)"""
-
-
-def _scored(spark, d):
-    """Every design row under the surrogate of each of the 44 outputs."""
-    p = fx.params(spark, d).where("param < 3").withColumnRenamed("value", "x")
-    fit = _level(spark, d, 0).join(p, "member").groupBy(*K, "param").agg(F.regr_slope("value", "x").alias("s"))
-    fit = fit.groupBy(*K).agg(*(F.max(F.when(F.col("param") == k, F.col("s"))).alias(f"s{k}") for k in range(3)))
-    x = lambda k: F.get("x", F.lit(k))
-    return _design(spark, d).crossJoin(F.broadcast(fit)).select(*K, "row", "matrix", sum(F.col(f"s{k}") * x(k) for k in range(3)).alias("value"))
-
-
-@query("sobol_indices", fx.sql("SELECT variable, feat_idx, param, round(s1, 6) AS s1, round(st, 6) AS st, round(var, 6) AS var FROM sob", BOX, IDS, KRON, AB, DESIGN, SLOPES, SCORED, SOBOL))
-def sobol_indices(spark, d):
-    return rounded(sensitivity.sobol_indices(_scored(spark, d), K), "s1", "st", "var")
-
-
-@query("sobol_bootstrap")
-def sobol_bootstrap(spark, d):
-    return sensitivity.sobol_bootstrap(_scored(spark, d), K, 20)
-
-
-@query("sobol_summary", fx.sql("SELECT variable, param, round(sum(st * var) / sum(var), 6) AS st, round(sum(s1 * var) / sum(var), 6) AS s1 FROM sob GROUP BY ALL", BOX, IDS, KRON, AB, DESIGN, SLOPES, SCORED, SOBOL))
-def sobol_summary(spark, d):
-    return rounded(sensitivity.sobol_summary(sensitivity.sobol_indices(_scored(spark, d), K)), "st", "s1")
-
-
-def _centre(spark, d):
-    r = fx.params(spark, d).where("param < 3").groupBy("param").agg(F.avg("value").alias("m")).collect()
-    return [x["m"] for x in sorted(r, key=lambda x: x["param"])]
-
-
-def _hessian(spark, d):
-    """Stencil around the mean of the first three parameters; the cost is a mean of fourth powers over all members."""
-    probes = sensitivity.hessian_probes(spark, _centre(spark, d), [0.05] * 3, _box(spark, d))
-    e = fx.vectors(spark, d).select(*(F.get("e", F.lit(k)).alias(f"p{k}") for k in range(3)))
-    gap = [F.get("x", F.lit(k)) - F.col(f"p{k}") for k in range(3)]
-    far = sum(g**4 * (k + 1.0) for k, g in enumerate(gap)) + gap[0] ** 2 * gap[1] ** 2
-    return sensitivity.hessian(e.crossJoin(F.broadcast(probes)).groupBy(*probes.columns).agg(F.avg(far).alias("cost")))
-
-
-MOMENTS = "mo AS (SELECT i, j, any_value(least(0.05e0, m[i + 1] - lo[i + 1], hi[i + 1] - m[i + 1])) AS h, any_value(least(0.05e0, m[1] - lo[1], hi[1] - m[1])) AS h0, avg((m[i + 1] - e[i + 1]) * (m[j + 1] - e[j + 1])) AS c, avg((m[2 - i % 2] - e[2 - i % 2]) * (m[2 - i % 2] - e[2 - i % 2])) AS other FROM vectors, (SELECT list(m ORDER BY param) AS m, list(l ORDER BY param) AS lo, list(h ORDER BY param) AS hi FROM (SELECT param, avg(value) AS m, min(value) AS l, max(value) AS h FROM params WHERE param < 3 GROUP BY param)), (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j) WHERE i <= j GROUP BY i, j)"
-
-
-# The stencil of a fourth power is 12 g^2 + 2 h^2, that of the product of squares 2 g^2 of the other one, and 4 g g' across.
-@query("hessian_stencil", fx.sql("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN i = j THEN (i + 1) * (12e0 * c + 2e0 * h * h) + CASE WHEN i < 2 THEN 2e0 * other ELSE 0e0 END WHEN i = 0 AND j = 1 THEN 4e0 * c ELSE 0e0 END, 6) AS h FROM mo", MOMENTS))
-def hessian_stencil(spark, d):
-    return rounded(_hessian(spark, d), "h")
-
-
-@query("param_uncertainty")
-def param_uncertainty(spark, d):
-    return sensitivity.param_uncertainty(spark, _hessian(spark, d), _centre(spark, d), _box(spark, d))
-
-
 @query("cov_slices", fx.sql("SELECT member, round(c / (a * c - b * b), 6) AS vii, round(a / (a * c - b * b), 6) AS vjj, round(-b / (a * c - b * b), 6) AS vij, round(1 / a, 6) AS naive_i, round(1 / c, 6) AS naive_j FROM (SELECT member, 2e0 + abs(e[1]) AS a, e[2] AS b, 2e0 + abs(e[3]) AS c FROM vectors)"))
 def cov_slices(spark, d):
     e = lambda k: F.get("e", F.lit(k))
@@ -194,12 +118,6 @@ def profile_crossing(spark, d):
     return rounded(sensitivity.profile_crossing(_slices(spark, d), 0.5), "crossing")
 
 
-@query("profile_scan")
-def profile_scan(spark, d):
-    goal = [min(max(v, -0.5), 0.5) for v in fx.results(spark, d).where("start_idx = 0").first()["x"][:2]]
-    return sensitivity.profile_scan(spark, _quadratic(goal), goal, [(-1.0, 1.0)] * 2, 0.2, steps=6, rounds=3)
-
-
 @query("profile_table", fx.sql("SELECT param, round(0.5e0, 6) AS value, round((max(crossing) FILTER (WHERE direction < 0) + 2e0) / 4e0, 6) AS lo, round((max(crossing) FILTER (WHERE direction > 0) + 2e0) / 4e0, 6) AS hi, bool_or(direction < 0 AND open) AS open_lo, bool_or(direction > 0 AND open) AS open_hi FROM cr GROUP BY param", SLICES, CROSS))
 def profile_table(spark, d):
     c = sensitivity.profile_crossing(_slices(spark, d), 0.5)
