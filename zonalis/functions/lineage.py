@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where no such folder is set, one in the warehouse, which executors share, too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint, for tables that several later steps read.
 
-    It goes to spark.checkpoint.dir; where no such folder is set, to one in the warehouse, which executors share, too.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def settled(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the shared folder, for tables that several later steps read."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zonalis.functions import lineage
 from zonalis.functions.columns import lat_band
 from zonalis.operators import fields, zrg
 from zonalis.sources import fixtures as fx
@@ -86,6 +87,25 @@ def obs_scan_optional(spark, d):
     return rounded(mf.obs_scan_optional(config, _obs(spark, d)).withColumn("ncol", F.coalesce("ncol", F.lit(-1))), "value")
 
 
+STAGE = "level int, member bigint, variable int, feat_idx int, value double"
+
+
+@query("zrg_persist", fx.sql("SELECT 'ppe' AS name, level, variable, count(*) AS n, round(sum(CASE WHEN level = 2 THEN value * 2e0 ELSE value END), 6) AS total FROM outputs WHERE NOT (level = 2 AND member % 24 <> 0) GROUP BY level, variable UNION ALL SELECT 'obs', NULL, variable, count(*), round(sum(obs + 1e0), 6) FROM observed GROUP BY variable"))
+def zrg_persist(spark, d):
+    """Writes all stage tables, then one level with fewer rows and other values, then the observations alone, and reads all back."""
+    path = lineage.scratch(spark)
+    ppe, obs = fx.outputs(spark, d).select("level", "member", "variable", "feat_idx", "value"), fx.observed(spark, d).select("variable", "feat_idx", F.col("obs").alias("value"))
+    mf.zrg_persist({"ppe": ppe, "obs": obs}, path)
+    again = ppe.where("level = 2 and member % 24 = 0").withColumn("value", F.col("value") * 2.0)
+    mf.zrg_persist({"ppe": again, "obs": obs.withColumn("value", F.lit(0.0))}, path, "ppe")
+    mf.zrg_persist({"ppe": ppe.withColumn("value", F.lit(0.0)), "obs": obs.withColumn("value", F.col("value") + 1.0)}, path, "obs")
+    back = mf.zrg_load(spark, path, "ppe", STAGE).groupBy("level", "variable").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.lit("ppe").alias("name"), "level", "variable", "n", "total")
+    seen = mf.zrg_load(spark, path, "obs", "variable int, feat_idx int, value double").groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    out = lineage.settled(back.unionByName(seen.select(F.lit("obs").alias("name"), F.lit(None).cast("int").alias("level"), "variable", "n", "total")))
+    lineage.removed(spark, path)
+    return rounded(out, "total")
+
+
 @query("result_sink_topk", fx.sql("SELECT rank, start_idx, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (ORDER BY abs(cost), start_idx) AS rank FROM results) WHERE rank <= 10"))
 def result_sink_topk(spark, d):
     from zonalis.operators.search import rank_starts

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zonalis.functions.lineage import removed, scratch, settled
 from zonalis.operators import compare, errors, search, sensitivity, surrogate, zrg
 from zonalis.sources import fixtures as fx
 
@@ -141,19 +142,38 @@ def sigma_moment(spark, d):
     return rounded(errors.sigma_moment(_res(spark, d), VB), "s2")
 
 
-@query("sigma_mle", fx.sql("SELECT variable, block, round(min(struct_pack(n := nll, s := s2)).s, 6) AS s2, round(min(nll), 6) AS nll FROM (SELECT variable, block, s2, sum(w * (0.5e0 * r * r / greatest(gp_var + obs_var + s2, 1e-6) + 0.5e0 * ln(2e0 * pi() * greatest(gp_var + obs_var + s2, 1e-6)))) / sum(w) AS nll FROM res, (SELECT unnest(range(21)) * 0.05e0 AS s2) GROUP BY ALL) GROUP BY ALL", RES))
+# The same estimate by bisection of the slope: the bracket of the best of 25 values, then sixty halvings.
+START = """lim AS (SELECT variable, block, greatest(10e0 * max(r * r), 10e0 * max(gp_var + obs_var), 1e-3) AS top FROM res GROUP BY ALL),
+pts AS (SELECT variable, block, k, CASE WHEN k = 0 THEN 0e0 ELSE exp(ln(1e-8) + (ln(top) - ln(1e-8)) * (k - 1) / 23e0) END AS s FROM lim, (SELECT unnest(range(25)) AS k)),
+bestk AS (SELECT variable, block, min(struct_pack(f := f, k := k)).k AS k FROM (SELECT variable, block, k, sum(w * (TERM)) / sum(w) AS f FROM pts JOIN (SELECT * FROM res) USING (variable, block), LATERAL (SELECT greatest(gp_var + obs_var + s, 1e-6) AS v) GROUP BY ALL) GROUP BY ALL),
+halve(variable, block, step, lo, hi) AS (SELECT b.variable, b.block, 0, x.s, y.s FROM bestk b JOIN pts x ON x.variable = b.variable AND x.block = b.block AND x.k = greatest(b.k - 1, 0) JOIN pts y ON y.variable = b.variable AND y.block = b.block AND y.k = least(b.k + 1, 24)
+UNION ALL SELECT variable, block, step + 1, CASE WHEN g >= 0 THEN lo ELSE mid END, CASE WHEN g >= 0 THEN mid ELSE hi END FROM (SELECT h.variable, h.block, any_value(step) AS step, any_value(lo) AS lo, any_value(hi) AS hi, any_value((lo + hi) / 2e0) AS mid, sum(w * CASE WHEN gp_var + obs_var + (lo + hi) / 2e0 < 1e-6 THEN 0 ELSE SLOPE END) AS g FROM halve h JOIN res r ON r.variable = h.variable AND r.block = h.block, LATERAL (SELECT greatest(gp_var + obs_var + (lo + hi) / 2e0, 1e-6) AS v) WHERE step < 60 GROUP BY h.variable, h.block)),
+ends AS (SELECT variable, block, (lo + hi) / 2e0 AS s FROM halve WHERE step = 60),
+mle AS (SELECT variable, block, any_value(s) AS s2, sum(w * (TERM)) / sum(w) AS nll FROM ends JOIN res USING (variable, block), LATERAL (SELECT greatest(gp_var + obs_var + s, 1e-6) AS v) GROUP BY ALL)"""
+
+
+def _mle_sql(term: str, slope: str) -> str:
+    return "WITH RECURSIVE " + fx.sql("SELECT variable, block, round(s2, 6) AS s2, round(nll, 6) AS nll FROM mle", RES, START.replace("TERM", term).replace("SLOPE", slope)).removeprefix("WITH ")
+
+
+@query("sigma_mle", _mle_sql("0.5e0 * r * r / v + 0.5e0 * ln(2e0 * pi() * v)", "0.5e0 / v - 0.5e0 * r * r / (v * v)"))
 def sigma_mle(spark, d):
-    """The grid pass on 21 equal steps; sigma_mle() itself goes on to finer grids."""
+    return rounded(errors.sigma_mle(_res(spark, d), VB).drop("passes"), "s2", "nll")
+
+
+@query("sigma_mle_student_t", _mle_sql("0.5e0 * ln(v) + 2.5e0 * ln(1e0 + r * r / (4e0 * v)) - lgamma(2.5e0) + lgamma(2e0) + 0.5e0 * ln(4e0 * pi())", "0.5e0 / v - 2.5e0 * r * r / (v * (4e0 * v + r * r))"))
+def sigma_mle_student_t(spark, d):
+    return rounded(errors.sigma_mle(_res(spark, d), VB, likelihood="student_t").drop("passes"), "s2", "nll")
+
+
+@query("sigma_mle_grid", fx.sql("SELECT variable, block, round(min(struct_pack(n := nll, s := s2)).s, 6) AS s2, round(min(nll), 6) AS nll FROM (SELECT variable, block, s2, sum(w * (0.5e0 * r * r / greatest(gp_var + obs_var + s2, 1e-6) + 0.5e0 * ln(2e0 * pi() * greatest(gp_var + obs_var + s2, 1e-6)))) / sum(w) AS nll FROM res, (SELECT unnest(range(21)) * 0.05e0 AS s2) GROUP BY ALL) GROUP BY ALL", RES))
+def sigma_mle_grid(spark, d):
+    """One pass on 21 given values."""
     r = _res(spark, d)
     grid = r.select(*VB).distinct().select(*VB, F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k")).select(*VB, (F.col("k") * 0.05).alias("s2"))
     return rounded(errors.sigma_grid(r, grid, VB), "s2", "nll")
 
 
-@query("sigma_mle_refined")
-def sigma_mle_refined(spark, d):
-    return errors.sigma_mle(_res(spark, d), VB, points=60)
-
-
 @query("residual_step", fx.sql("SELECT variable, block, round(sqrt(avg((obs - mean) * (obs - mean))), 6) AS rms_residual, round(sqrt(avg(var)), 6) AS rms_sd, round(avg((obs - mean) * (obs - mean) / ((var + 0.1e0) * 2e0)), 6) AS chi2 FROM cost_blocks GROUP BY ALL"))
 def residual_step(spark, d):
     from .skill_queries import _cost_rows
@@ -169,23 +189,73 @@ def sigma_phys_equiv(spark, d):
     return rounded(errors.sigma_phys_equiv(s.select("variable").distinct().withColumn("sigma", F.lit(0.3)), s, ["variable"]), "sigma_phys")
 
 
-@query("calibrate_loop")
-def calibrate_loop(spark, d):
-    """The optimum is the candidate of least cost under the current sigmas; residuals are taken there."""
+def _calibration(spark, d):
+    """The optimum is the candidate of least cost under the current sigmas; residuals are taken there. The global block is fixed."""
     from .skill_queries import _cost_rows
 
-    rows = _cost_rows(spark, d)
+    rows, x = _cost_rows(spark, d), fx.vectors(spark, d).select(F.col("member").alias("cand_id"), F.slice("e", 1, fx.N_PARAMS).alias("x"))
 
     def optimise(sigma):
-        r = rows if sigma is None else rows.join(F.broadcast(sigma), VB).withColumn("var", F.col("var") + F.col("sigma") ** 2)
+        r = rows.join(F.broadcast(sigma), VB).withColumn("var", F.col("var") + F.col("sigma") ** 2)
         c = r.groupBy("cand_id").agg(F.avg((F.col("mean") - F.col("obs")) ** 2 / F.col("var") + F.log("var")).alias("cost"))
-        return c.orderBy("cost", "cand_id").limit(1)
+        return c.orderBy("cost", "cand_id").limit(1).join(x, "cand_id")
 
     def residuals(best):
         r = rows.join(F.broadcast(best.select("cand_id")), "cand_id")
         return r.select(*VB, (F.col("obs") - F.col("mean")).alias("r"), F.col("var").alias("gp_var"), F.lit(0.0).alias("obs_var"), F.lit(1.0).alias("w"))
 
-    return errors.calibrate_loop(optimise, residuals, VB, rounds=3)
+    blocks = settled(rows.select(*VB).distinct())
+    return optimise, residuals, blocks.withColumn("sigma", F.lit(0.25)), blocks.where("block = 'global'").withColumn("sigma", F.lit(0.3))
+
+
+def _rounds_sql(rounds: int) -> list[str]:
+    """One group of CTEs for each round; a round after the converged one is empty."""
+    out = ["sig0 AS (SELECT DISTINCT variable, block, CASE WHEN block = 'global' THEN 0.3e0 ELSE 0.25e0 END AS sigma FROM cost_blocks)"]
+    for n in range(rounds):
+        after = f", (SELECT max(x) AS x0 FROM round{n - 1} WHERE NOT converged) WHERE x0 IS NOT NULL" if n else ""
+        moved = f"list_max(list_transform(list_zip(x, x0), lambda z: abs(z[1] - z[2])))" if n else "NULL::DOUBLE"
+        change = "max(abs(sigma_next - sigma_used) / greatest(abs(sigma_used), 0.1e0)) OVER ()" if n else "NULL::DOUBLE"
+        out += [
+            f"best{n} AS (SELECT cand_id, cost, e[1:19] AS x FROM (SELECT cand_id, avg((mean - obs) * (mean - obs) / (var + sigma * sigma) + ln(var + sigma * sigma)) AS cost FROM cost_blocks JOIN sig{n} USING (variable, block) GROUP BY cand_id ORDER BY cost, cand_id LIMIT 1) JOIN vectors ON member = cand_id)",
+            f"next{n} AS (SELECT variable, block, CASE WHEN block = 'global' THEN 0.3e0 ELSE sqrt(greatest(avg((obs - mean) * (obs - mean) - var), 0)) END AS sigma_next FROM cost_blocks JOIN best{n} USING (cand_id) GROUP BY variable, block)",
+            f"raw{n} AS (SELECT {n} AS round, variable, block, s.sigma AS sigma_used, sigma_next, block = 'global' AS fixed, x, cost, {moved} AS dtheta FROM next{n} JOIN sig{n} s USING (variable, block), best{n}{after})",
+            f"round{n} AS MATERIALIZED (SELECT *, coalesce(dtheta < 0.02e0 AND dsigma < 0.1e0, false) AS converged FROM (SELECT *, {change} AS dsigma FROM raw{n}))",
+            f"sig{n + 1} AS (SELECT variable, block, sigma_next AS sigma FROM round{n})"]
+    return [*out, "calib AS (" + " UNION ALL ".join(f"SELECT * FROM round{n}" for n in range(rounds)) + ")"]
+
+
+CALIB = ("round", *VB, "fixed", "converged")
+
+
+@query("calibrate_loop", fx.sql("SELECT round, variable, block, fixed, converged, round(sigma_used, 6) AS sigma_used, round(sigma_next, 6) AS sigma_next, round(cost, 6) AS cost, round(dtheta, 6) AS dtheta, round(dsigma, 6) AS dsigma FROM calib", *_rounds_sql(5)))
+def calibrate_loop(spark, d):
+    """Two rounds, then a second call that goes on from what the first one stored."""
+    optimise, residuals, start, fixed = _calibration(spark, d)
+    path = scratch(spark)
+    for rounds in (2, 5):
+        log = errors.calibrate_loop(optimise, residuals, VB, start, fixed, method="moment", rounds=rounds, path=path)
+    log = settled(log)
+    removed(spark, path)
+    return rounded(log.select(*CALIB, "sigma_used", "sigma_next", "cost", "dtheta", "dsigma"), "sigma_used", "sigma_next", "cost", "dtheta", "dsigma")
+
+
+def _scaled_sql(f: float) -> str:
+    return f"SELECT {f!r}e0 AS factor, cost, list_max(d) AS dtheta_max, sqrt(list_sum(list_transform(d, lambda v: v * v)) / 19e0) AS dtheta_rms FROM (SELECT cost, list_transform(list_zip(e[1:19], (SELECT any_value(x) FROM lastr)), lambda z: abs(z[1] - z[2])) AS d FROM (SELECT cand_id, avg((mean - obs) * (mean - obs) / (var + s * s) + ln(var + s * s)) AS cost FROM cost_blocks JOIN (SELECT variable, block, CASE WHEN converged THEN sigma_used ELSE sigma_next END * CASE WHEN fixed THEN 1e0 ELSE {f!r}e0 END AS s FROM lastr) USING (variable, block) GROUP BY cand_id ORDER BY cost, cand_id LIMIT 1) JOIN vectors ON member = cand_id)"
+
+
+@query("calibrate_sensitivity", fx.sql("SELECT factor, round(cost, 6) AS cost, round(dtheta_max, 6) AS dtheta_max, round(dtheta_rms, 6) AS dtheta_rms FROM (" + " UNION ALL ".join(_scaled_sql(f) for f in (0.5, 2.0)) + ")", *_rounds_sql(5), "lastr AS (SELECT * FROM calib WHERE round = (SELECT max(round) FROM calib))"))
+def calibrate_sensitivity(spark, d):
+    optimise, residuals, start, fixed = _calibration(spark, d)
+    log = errors.calibrate_loop(optimise, residuals, VB, start, fixed, method="moment", rounds=5)
+    return rounded(errors.sigma_sensitivity(optimise, log, VB), "cost", "dtheta_max", "dtheta_rms")
+
+
+@query("calibrate_mle")
+def calibrate_mle(spark, d):
+    """The same loop with the estimator that is consistent with a Student-t cost."""
+    optimise, residuals, start, fixed = _calibration(spark, d)
+    log = errors.calibrate_loop(optimise, residuals, VB, start, fixed, rounds=2, likelihood="student_t", tol=1e-6)
+    return rounded(log.select(*CALIB, "sigma_used", "sigma_next"), "sigma_used", "sigma_next")
 
 
 FULL = "good AS (SELECT product, ncol FROM daily GROUP BY ALL HAVING count(value) >= 5)"
@@ -237,7 +307,7 @@ def closest_to_obs(spark, d):
 
 @query("closest_counts", fx.sql("SELECT variable, scenario, CAST(count(*) FILTER (WHERE rank = 1) AS BIGINT) AS n_closest FROM rk GROUP BY ALL", SCEN, RANKED))
 def closest_counts(spark, d):
-    return compare.closest_counts(compare.closest_to_obs(_scenarios(spark, d), K), ["variable"])
+    return compare.closest_counts(_scenarios(spark, d), ["variable"], ["feat_idx"])
 
 
 @query("error_extremes", fx.sql("SELECT variable, scenario, round(max(abs(obs - pred)), 6) AS most, round(min(abs(obs - pred)), 6) AS least, round(avg(abs(obs - pred)), 6) AS mean FROM sc GROUP BY ALL", SCEN))

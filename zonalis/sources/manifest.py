@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from zonalis.functions.columns import member_index
+from zonalis.functions.lineage import exists
 
 
 def member_manifest(files: DataFrame, min_files: int, max_files: int) -> DataFrame:
@@ -84,16 +86,68 @@ def obs_scan_optional(config: DataFrame, obs: DataFrame, require_all: bool = Fal
     return out.select("snapshot", "variable", "ncol", "value")
 
 
+#: Columns by which stage tables are laid out, where they have them.
+LAYOUT = ("level", "snapshot", "variable")
+
+
+def _parts(df: DataFrame) -> list[str]:
+    return [c for c in LAYOUT if c in df.columns]
+
+
+def _record(df: DataFrame, name: str, parts: list[str]) -> DataFrame:
+    """(name, part, n, digest): what a partition of a table holds, whatever the order of its rows."""
+    part = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in parts))) if parts else F.lit("{}")
+    row = F.xxhash64(F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))), {"ignoreNullFields": "false"}))
+    return df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("digest")).select(F.lit(name).alias("name"), "part", "n", "digest")
+
+
 def zrg_persist(tables: dict[str, DataFrame], path: str, mode: str = "both") -> dict[str, str]:
-    """Writes stage tables as Parquet; mode 'both', 'ppe' (no observations) or 'obs' (only them)."""
-    written = {}
+    """Writes stage tables as Parquet below path; mode 'both', 'ppe' (no observations) or 'obs' (only them).
+
+    Tables are laid out by level, snapshot and variable. Only partitions that a table has rows for are replaced;
+    those of other levels, and tables that the mode leaves out, stay as they are. Each call ends with a commit
+    record of the partitions it wrote (rows and a digest of them); zrg_load holds tables against it.
+    """
+    if mode not in ("both", "ppe", "obs"):
+        raise ValueError(f"unknown mode {mode}")
+    written, records = {}, None
     for name, df in tables.items():
-        if mode == "both" or (mode == "obs") == name.startswith("obs"):
-            df.write.mode("overwrite").partitionBy(*[c for c in ("level", "snapshot", "variable") if c in df.columns and c != df.columns[-1]]).parquet(f"{path}/{name}")
-            written[name] = f"{path}/{name}"
+        if mode != "both" and (mode == "obs") != name.startswith("obs"):
+            continue
+        parts, at = _parts(df), f"{path}/{name}"
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(at)
+        record = _record(df, name, parts)
+        written[name] = at
+        records = record if records is None else records.unionByName(record)
+    if records is not None:
+        spark = records.sparkSession
+        before = zrg_commits(spark, path)
+        last = before.agg(F.coalesce(F.max("commit"), F.lit(-1)).alias("m")).first()["m"] if before is not None else -1
+        records.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/commit={last + 1}")
     return written
 
 
+def zrg_commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """(name, part, n, digest, commit), or None where nothing was committed."""
+    return spark.read.parquet(f"{path}/commits") if exists(spark, f"{path}/commits") else None
+
+
+def zrg_load(spark: SparkSession, path: str, name: str, schema: str, check: bool = True) -> DataFrame:
+    """One stage table as it was committed; with check, a partition that its last commit does not describe is an error."""
+    df = spark.read.schema(schema).parquet(f"{path}/{name}")
+    df = df.select(*(x.name for x in StructType.fromDDL(schema)))
+    if check:
+        commits = zrg_commits(spark, path)
+        if commits is None:
+            raise ValueError(f"nothing was committed at {path}")
+        last = commits.where(F.col("name") == name).groupBy("part").agg(F.max_by(F.struct("n", "digest"), "commit").alias("want"))
+        have = _record(df, name, _parts(df)).select("part", F.struct("n", "digest").alias("have"))
+        bad = [r["part"] for r in last.join(have, "part", "full").where(~F.col("want").eqNullSafe(F.col("have"))).select("part").orderBy("part").limit(10).collect()]
+        if bad:
+            raise ValueError(f"{name}: partitions differ from their commit: {bad}")
+    return df
+
+
 def result_text(results: DataFrame) -> DataFrame:
     """Ranked result rows as text lines 'rank,[params],cost'."""
     return results.select(F.concat_ws(",", F.col("rank").cast("string"), F.concat(F.lit("["), F.array_join(F.transform("x", lambda v: v.cast("string")), ", "), F.lit("]")), F.col("cost").cast("string")).alias("line"))
