@@ -43,7 +43,7 @@ class Pivots:
                 ids.append(r["id"])
                 points.append(v + points[0])
                 basis.append(rest / np.linalg.norm(rest))
-        edges = np.array([p - points[0] for p in points[1:]]).reshape(len(points) - 1, -1)
+        edges = np.array(points)[1:] - points[0]
         tri = edges @ np.array(basis).T if basis else np.zeros((0, 0))
         spans = (edges * edges).sum(1)
         return cls(ids, np.array(points), np.linalg.inv(tri) if basis else tri, spans, float(np.sqrt(max(spans, default=0.0))))
