@@ -23,6 +23,8 @@ def nll_term(r: Column, v: Column, likelihood: str = "gaussian", dof: float = 4.
         t = 0.5 * r * r / v + 0.5 * F.log(2 * math.pi * v)
     elif likelihood == "laplace":
         t = math.sqrt(2) * F.abs(r) / F.sqrt(v) + 0.5 * F.log(2 * v)
+    elif likelihood != "student_t":
+        raise ValueError(f"no likelihood {likelihood}")
     else:
         const = -math.lgamma((dof + 1) / 2) + math.lgamma(dof / 2) + 0.5 * math.log(dof * math.pi)
         t = 0.5 * F.log(v) + 0.5 * (dof + 1) * F.log1p(r * r / (dof * v)) + const
@@ -55,44 +57,44 @@ def sigma_mle(residuals: DataFrame, keys: list[str], points: int = 8, first: int
     """
     rows = residuals.where("r is not null and gp_var is not null and obs_var is not null and w is not null")
     rows = settled(rows.select(*keys, "r", "w", (F.col("gp_var") + F.col("obs_var")).alias("_v")))
-    top = rows.groupBy(*keys).agg(F.greatest(ABOVE * F.max(F.col("r") ** 2), ABOVE * F.max("_v"), F.lit(1e-3)).alias("hi"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(first)), lambda i: F.when(i == 0, 0.0).otherwise(F.exp(math.log(LEAST_S2) + (F.log("hi") - math.log(LEAST_S2)) * (i - 1) / (first - 1))))
-    state = settled(top.select(*keys, grid.alias("at")))
+    top = rows.groupBy(*keys).agg(F.greatest(ABOVE * F.max(F.col("r") ** 2), ABOVE * F.max("_v"), F.lit(1e-3)).alias("_hi"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(first)), lambda i: F.when(i == 0, 0.0).otherwise(F.exp(math.log(LEAST_S2) + (F.log("_hi") - math.log(LEAST_S2)) * (i - 1) / (first - 1))))
+    state = settled(top.select(*keys, grid.alias("_at")))
 
     def sums(n: int, term) -> list[Column]:
         """Weighted means of a term at the n values `at`, as f."""
-        v = lambda i: F.greatest(F.col("_v") + F.get("at", F.lit(i)), F.lit(floor))
-        return [F.array(*(F.try_divide(F.sum(F.col("w") * term(F.col("r"), v(i), i)), F.sum("w")) for i in range(n))).alias("f")]
+        v = lambda i: F.greatest(F.col("_v") + F.get("_at", F.lit(i)), F.lit(floor))
+        return [F.array(*(F.try_divide(F.sum(F.col("w") * term(F.col("r"), v(i), i)), F.sum("w")) for i in range(n))).alias("_f")]
 
     def value(r: Column, v: Column, i: int) -> Column:
         return nll_term(r, v, **likelihood)
 
     def slope(r: Column, v: Column, i: int) -> Column:
         # Below the floor the NLL does not change.
-        return F.when(F.col("_v") + F.get("at", F.lit(i)) < floor, 0.0).otherwise(nll_slope(r, v, **likelihood))
+        return F.when(F.col("_v") + F.get("_at", F.lit(i)) < floor, 0.0).otherwise(nll_slope(r, v, **likelihood))
 
     def measured(state: DataFrame, terms: list[Column]) -> DataFrame:
-        return state.join(rows.join(state.select(*keys, "at"), keys).groupBy(*keys).agg(*terms), keys)
+        return state.join(rows.join(state.select(*keys, "_at"), keys).groupBy(*keys).agg(*terms), keys)
 
-    best = (F.array_position("f", F.array_min("f")) - 1).cast("int")
-    found = measured(state, sums(first + 1, value)).withColumn("k", best).where("k is not null")
-    inside = F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points + 1)).alias("at")
-    state = found.select(*keys, F.get("at", F.greatest(F.col("k") - 1, F.lit(0))).alias("lo"), F.get("at", F.least(F.col("k") + 1, F.lit(first))).alias("hi"), F.lit(1).alias("passes"))
+    best = (F.array_position("_f", F.array_min("_f")) - 1).cast("int")
+    found = measured(state, sums(first + 1, value)).withColumn("_k", best).where("_k is not null")
+    inside = F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (points + 1)).alias("_at")
+    state = found.select(*keys, F.get("_at", F.greatest(F.col("_k") - 1, F.lit(0))).alias("_lo"), F.get("_at", F.least(F.col("_k") + 1, F.lit(first))).alias("_hi"), F.lit(1).alias("passes"))
     state = settled(state.select("*", inside))
-    wide = (F.col("hi") - F.col("lo") > tol * F.greatest("hi", F.lit(LEAST_S2))) & (F.col("passes") < passes - 1)
+    wide = (F.col("_hi") - F.col("_lo") > tol * F.greatest("_hi", F.lit(LEAST_S2))) & (F.col("passes") < passes - 1)
     # The first value from which the NLL rises; it falls before that.
-    up = F.array_position(F.transform("f", lambda g: g >= 0), F.lit(True)).cast("int")
+    up = F.array_position(F.transform("_f", lambda g: g >= 0), F.lit(True)).cast("int")
     up = F.when(up > 0, up).otherwise(points + 1)
-    ends = F.concat(F.array("lo"), F.col("at"), F.array("hi"))
-    closer = [*keys, F.when(wide, F.get(ends, up - 1)).otherwise(F.col("lo")).alias("lo"), F.when(wide, F.get(ends, up)).otherwise(F.col("hi")).alias("hi"), F.when(wide, F.col("passes") + 1).otherwise(F.col("passes")).alias("passes")]
+    ends = F.concat(F.array("_lo"), F.col("_at"), F.array("_hi"))
+    closer = [*keys, F.when(wide, F.get(ends, up - 1)).otherwise(F.col("_lo")).alias("_lo"), F.when(wide, F.get(ends, up)).otherwise(F.col("_hi")).alias("_hi"), F.when(wide, F.col("passes") + 1).otherwise(F.col("passes")).alias("passes")]
     slopes = sums(points, slope)
     while not state.where(wide).isEmpty():
         state = settled(measured(state, slopes).select(*closer).select("*", inside))
     # An interval that closed in on zero is zero; the last pass takes the NLL there.
-    middle = (F.col("lo") + F.col("hi")) / 2
-    at = F.when((F.col("lo") == 0.0) & (F.col("hi") <= 2 * LEAST_S2 * tol), 0.0).otherwise(middle)
-    out = measured(state.withColumn("at", F.array(at)), sums(1, value))
-    return out.select(*keys, F.get("at", F.lit(0)).alias("s2"), F.get("f", F.lit(0)).alias("nll"), (F.col("passes") + 1).alias("passes"))
+    middle = (F.col("_lo") + F.col("_hi")) / 2
+    at = F.when((F.col("_lo") == 0.0) & (F.col("_hi") <= 2 * LEAST_S2 * tol), 0.0).otherwise(middle)
+    out = measured(state.withColumn("_at", F.array(at)), sums(1, value))
+    return out.select(*keys, F.get("_at", F.lit(0)).alias("s2"), F.get("_f", F.lit(0)).alias("nll"), (F.col("passes") + 1).alias("passes"))
 
 
 def sigma_grid(residuals: DataFrame, grid: DataFrame, keys: list[str], floor: float = 1e-6, **likelihood) -> DataFrame:

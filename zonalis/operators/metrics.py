@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,47 +105,65 @@ def pearson_table(params: DataFrame, zrg: DataFrame, keys: list[str], p_values:
 
 def _with_p(batches):
     for pdf in batches:
-        yield pdf.assign(p=[t_two_sided(r, int(n)) for r, n in zip(pdf["r"], pdf["n"], strict=True)])
+        yield pdf.assign(p=two_sided_p(pdf["r"].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=float)))
 
 
 def t_two_sided(r: float, n: int) -> float:
-    """Two-sided p of a correlation: I_{1-r²}((n-2)/2, 1/2), by the continued fraction of the incomplete beta function."""
+    """two_sided_p of one correlation."""
+    return float(two_sided_p(np.array([r], dtype=float), np.array([n], dtype=float))[0])
+
+
+def two_sided_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided p of correlations at n rows: I_{1-r²}((n-2)/2, 1/2); 1 without a degree of freedom, 0 at |r| = 1, NaN for NaN."""
     df = n - 2
-    if df <= 0 or abs(r) >= 1:
-        return 0.0 if abs(r) >= 1 else 1.0
-    return incomplete_beta(df / 2, 0.5, 1 - r * r)
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
-    # Modified Lentz evaluation of the fraction.
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d or 1e-300)
-    f = d
-    for m in range(1, 300):
+    sure = np.abs(r) >= 1
+    p = incomplete_beta(np.maximum(df, 1) / 2, np.full(len(r), 0.5), np.where(sure, 0.5, 1 - r * r))
+    return np.where(np.isnan(r), np.nan, np.where(sure, 0.0, np.where(df <= 0, 1.0, p)))
+
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function of whole arrays, by its continued fraction."""
+    flip = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    inside = (x > 0) & (x < 1)
+    x = np.where(inside, x, 0.5)
+    log_beta = np.vectorize(lambda u, v: math.lgamma(u + v) - math.lgamma(u) - math.lgamma(v), otypes=[float])(a, b)
+    front = np.exp(a * np.log(x) + b * np.log1p(-x) + log_beta) / a
+    # Modified Lentz evaluation of the fraction, until every row has settled.
+    tiny = 1e-300
+    whole = lambda v: np.where(v == 0, tiny, v)
+    c = np.ones_like(x)
+    d = 1.0 / whole(1.0 - (a + b) * x / (a + 1))
+    f = d.copy()
+    for m in range(1, 500):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 / ((1.0 + num * d) or 1e-300)
-            c = (1.0 + num / c) or 1e-300
-            f *= c * d
-        if abs(c * d - 1) < 1e-14:
+            d, c = 1.0 / whole(1.0 + num * d), whole(1.0 + num / c)
+            f = f * c * d
+        if np.all(np.abs(c * d - 1) < 1e-14):
             break
-    return front * f
+    out = np.where(inside, front * f, (x >= 1).astype(float))
+    return np.where(flip, 1 - out, out)
+
+
+def critical_correlations(sizes: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(n, r) for each different n >= 3 of sizes: the correlation that is significant there, by halving of all rows of a batch at once."""
+
+    def run(batches):
+        for pdf in batches:
+            n = pdf["n"].to_numpy(dtype=float)
+            lo, hi = np.zeros(len(n)), np.ones(len(n))
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                above = two_sided_p(mid, n) > alpha
+                lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+            yield pd.DataFrame({"n": pdf["n"], "r": hi})
+
+    return sizes.select(F.col("n").cast("int")).where("n >= 3").distinct().mapInPandas(run, "n int, r double")
 
 
 def r_critical(spark: SparkSession, sizes: list[int], alpha: float = 0.05) -> DataFrame:
-    """(n, r): the correlation that is significant at n, by bisection of the p-value."""
-    rows = []
-    for n in sizes:
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if t_two_sided(mid, n) > alpha else (lo, mid)
-        rows.append((n, hi))
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["n", "r"]), "n int, r double")
+    """critical_correlations() of sizes that the caller holds."""
+    return critical_correlations(spark.createDataFrame([(int(n),) for n in sizes], "n int"), alpha)
 
 
 def top_k_params(table: DataFrame, k: int) -> DataFrame:

@@ -42,6 +42,12 @@ def log_mask_check(log_names: list[str], names: list[str]) -> list[bool]:
     return [n in set(log_names) for n in names]
 
 
+def log_mask_offenders(declared: DataFrame, params: DataFrame) -> DataFrame:
+    """(param, n): declared logarithmic parameters that no member has, and how often each was declared; null names count as unknown."""
+    known = params.select("param").distinct()
+    return declared.join(known, "param", "left_anti").groupBy("param").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fit_standard(y: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, mean, scale): population standard deviation, 1 where it is 0."""
     sd = F.stddev_pop("value")

@@ -181,6 +181,15 @@ def residual_step(spark, d):
     return rounded(errors.residual_step(_cost_rows(spark, d).withColumn("extra", F.lit(0.1)), VB, dof=4.0), "rms_residual", "rms_sd", "chi2")
 
 
+@query("residual_step_weighted", fx.sql("SELECT variable, block, round(sqrt(sum(w * (obs - mean) * (obs - mean)) / sum(w)), 6) AS rms_residual, round(sqrt(sum(w * var) / sum(w)), 6) AS rms_sd, round(sum(w * (obs - mean) * (obs - mean) / ((var + 0.1e0) * 2e0)) / sum(w), 6) AS chi2 FROM (SELECT *, 1e0 / (1e0 + feat_idx) AS w FROM cost_blocks) GROUP BY ALL"))
+def residual_step_weighted(spark, d):
+    """The same with weights of the locations within a block."""
+    from .skill_queries import _cost_rows
+
+    rows = _cost_rows(spark, d).withColumns({"extra": F.lit(0.1), "w": 1.0 / (1.0 + F.col("feat_idx"))})
+    return rounded(errors.residual_step(rows, VB, dof=4.0), "rms_residual", "rms_sd", "chi2")
+
+
 @query("sigma_phys_equiv", fx.sql("SELECT variable, round(median(0.3e0 * sd), 6) AS sigma_phys FROM (SELECT variable, feat_idx, stddev_pop(value) AS sd FROM outputs WHERE level = 0 GROUP BY ALL) GROUP BY variable"))
 def sigma_phys_equiv(spark, d):
     from zonalis.operators.scaling import fit_standard

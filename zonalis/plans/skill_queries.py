@@ -170,11 +170,31 @@ def layout_check(spark, d):
     return layout_faults(fx.predictions(spark, d).where("mean > -0.2"), 44)
 
 
-@query("r_critical")
+def p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation in finite sums: in sines for an even number of degrees of freedom, in arcs for an odd one."""
+    term = lambda c: f"coalesce(list_sum(list_transform(range(0, ({n} - 1 - {n} % 2) // 2), lambda k: exp({c}) * pow(1e0 - {r} * {r}, k))), 0e0)"
+    even = f"1e0 - abs({r}) / sqrt(pi()) * {term('lgamma(k + 0.5e0) - lgamma(k + 1e0)').replace(f'({n} - 1 - {n} % 2)', f'({n} - 2)')}"
+    odd = f"1e0 - 2e0 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1e0 - {r} * {r}) * sqrt(pi()) / 2e0 * {term('lgamma(k + 1e0) - lgamma(k + 1.5e0)').replace(f'({n} - 1 - {n} % 2)', f'({n} - 3)')})"
+    return f"CASE WHEN abs({r}) >= 1 THEN 0e0 WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+CRITICAL = f"""sizes AS (SELECT DISTINCT CAST(n AS INTEGER) AS n FROM (SELECT count(*) AS n FROM results GROUP BY seed UNION ALL SELECT unnest(range(3, 61)) UNION ALL SELECT count(*) FROM outputs GROUP BY level, variable, feat_idx) WHERE n >= 3),
+half(n, step, lo, hi) AS (SELECT n, 0, 0e0, 1e0 FROM sizes UNION ALL SELECT n, step + 1, CASE WHEN p > 0.05e0 THEN mid ELSE lo END, CASE WHEN p > 0.05e0 THEN hi ELSE mid END FROM (SELECT *, {p_sql('mid', 'n')} AS p FROM (SELECT *, (lo + hi) / 2e0 AS mid FROM half WHERE step < 60)))"""
+
+
+@query("r_critical", "WITH RECURSIVE " + fx.sql("SELECT n, round(hi, 6) AS r FROM half WHERE step = 60", CRITICAL).removeprefix("WITH "))
 def r_critical(spark, d):
-    """The significant correlation at each group's number of members."""
-    sizes = fx.results(spark, d).groupBy("seed").count().select("count").distinct().where("count > 3").orderBy("count").limit(1000)
-    return metrics.r_critical(spark, [r["count"] for r in sizes.collect()])
+    """The significant correlation at the sizes of all groups, the numbers of members of all levels, and 3 to 60."""
+    sizes = fx.results(spark, d).groupBy("seed").count().select(F.col("count").alias("n"))
+    sizes = sizes.unionByName(fx.outputs(spark, d).groupBy("level", *K).count().select(F.col("count").alias("n"))).unionByName(spark.range(3, 61).select(F.col("id").alias("n")))
+    return rounded(metrics.critical_correlations(sizes), "r")
+
+
+@query("log_mask_check", fx.sql("SELECT p AS param, count(*) AS n FROM (SELECT (member * 7) % 23 AS p FROM vectors) WHERE p NOT IN (SELECT param FROM params) GROUP BY p"))
+def log_mask_check(spark, d):
+    """Declared names that no member's parameters have: every member declares one."""
+    declared = fx.vectors(spark, d).select((F.col("member") * 7 % 23).alias("param"))
+    return scaling.log_mask_offenders(declared, fx.params(spark, d))
 
 
 @query("kfold_assign", fx.sql("SELECT * FROM folds", FOLDS))
@@ -267,12 +287,6 @@ def zscore_coverage(spark, d):
     return rounded(metrics.zscore_coverage(_pairs(spark, d), ["variable"]), "z2")
 
 
-@query("holdout_baselines", fx.sql("SELECT predictor, variable, round(1 - sum(sse) / sum(sst), 6) AS r2, round(avg(sqrt(sse / n)), 6) AS rmse FROM (SELECT p AS predictor, variable, feat_idx, count(*) AS n, sum((truth - pred * f) * (truth - pred * f)) AS sse, var_pop(truth) * count(*) AS sst FROM pairs, (SELECT unnest(['raw', 'scaled']) AS p, unnest([1e0, 1.1e0]) AS f) GROUP BY ALL) GROUP BY ALL", PAIRS))
-def holdout_baselines(spark, d):
-    p = _pairs(spark, d).select("member", *K, "truth", "pred")
-    return rounded(metrics.baselines({"raw": p, "scaled": p.withColumn("pred", F.col("pred") * 1.1)}, ["variable"], ["feat_idx"]), "r2", "rmse")
-
-
 PEAR = "pear AS (SELECT level, param, feat_idx, variable, count(*) AS n, corr(p.value, o.value) AS r FROM outputs o JOIN params p USING (member) GROUP BY ALL)"
 
 
@@ -286,9 +300,10 @@ def pearson_table(spark, d):
     return rounded(_pear(spark, d), "r")
 
 
-@query("pearson_p_values")
+@query("pearson_p_values", fx.sql(f"SELECT level, param, feat_idx, variable, n, round(r, 6) AS r, round({p_sql('r', 'n')}, 6) AS p FROM pear WHERE level > 0", PEAR))
 def pearson_p_values(spark, d):
-    return metrics.pearson_table(fx.params(spark, d), _level(spark, d, 2), ["level"], p_values=True)
+    """The levels whose members are few, where significance is in question."""
+    return rounded(metrics.pearson_table(fx.params(spark, d), fx.outputs(spark, d).where("level > 0"), ["level"], p_values=True), "r", "p")
 
 
 @query("top_k_params", fx.sql("SELECT param, round(score, 6) AS score FROM (SELECT param, max(m) AS score FROM (SELECT param, variable, avg(abs(r)) AS m FROM pear WHERE level = 1 GROUP BY ALL) GROUP BY param) ORDER BY score DESC, param LIMIT 5", PEAR))
@@ -367,6 +382,17 @@ def _register_costs() -> None:
 
 
 _register_costs()
+
+
+#: Two snapshots: the second one's predictions are a tenth larger; the first location of a block weighs most.
+SNAPS = "snaps AS (SELECT cand_id, variable, feat_idx, block, s AS snapshot, mean * (1e0 + 0.1e0 * s) AS mean, var, obs, 1e0 / (1e0 + feat_idx) AS w FROM cost_blocks, (SELECT unnest([0, 1]) AS s))"
+
+
+@query("cost_weighted", fx.sql(f"SELECT cand_id, round(sum(t * ({WEIGHT}) * CASE snapshot WHEN 0 THEN 0.7e0 ELSE 0.3e0 END), 6) AS cost FROM (SELECT cand_id, variable, block, snapshot, sum(w * (0.5e0 * (mean - obs) * (mean - obs) / greatest(var, 1e-6) + 0.5e0 * ln(2e0 * pi() * greatest(var, 1e-6)))) / sum(w) AS t FROM snaps GROUP BY ALL) GROUP BY cand_id", SNAPS))
+def cost_weighted(spark, d):
+    """Weights of the locations within a block, and of the snapshots."""
+    rows = _cost_rows(spark, d).withColumn("snapshot", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("mean", F.col("mean") * (1.0 + 0.1 * F.col("snapshot")))
+    return rounded(costs.cost(rows, costs.term_gaussian(), W_VAR, W_BLOCK, w_snap={0: 0.7, 1: 0.3}, weight=1.0 / (1.0 + F.col("feat_idx"))), "cost")
 BLOCK_OF = "CASE WHEN feat_idx < 7 THEN 'zonal' WHEN feat_idx < 10 THEN 'regional' ELSE 'global' END"
 
 

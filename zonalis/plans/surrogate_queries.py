@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -28,11 +29,14 @@ def phi_sql(degree: int, x: str = "e[1:19]") -> str:
     return f"([1e0] || {x}{square})"
 
 
-def fit_ctes(degree: int, level: int, folds: bool) -> list[str]:
-    """CTEs up to fit (k, variable, feat_idx, n, coef, mean, scale): normal equations solved by elimination; k = -1 without folds."""
+def fit_ctes(degree: int, level: int, folds: bool, loose: bool = False) -> list[str]:
+    """CTEs up to fit (k, variable, feat_idx, n, coef, mean, scale): normal equations solved by elimination; k = -1 without folds.
+
+    loose: members in no fold are in every training set.
+    """
     m, keys = regression.n_terms(P, degree), "(SELECT unnest(range(5)) AS k)" if folds else "(SELECT -1 AS k)"
-    fold = "JOIN folds USING (member)" if folds else ""
-    mine = "WHERE fold <> k" if folds else ""
+    fold = f"{'LEFT ' if loose else ''}JOIN folds USING (member)" if folds else ""
+    mine = "WHERE fold IS DISTINCT FROM k" if folds else ""
     return [
         *([FOLDS] if folds else []),
         f"phi AS MATERIALIZED (SELECT member, {phi_sql(degree)} AS phi FROM vectors)",
@@ -89,6 +93,30 @@ def kfold_predictions(spark, d):
     return rounded(_held(spark, d), "truth", "pred", "truth_norm", "pred_norm")
 
 
+def _lower(ctes: list[str]) -> list[str]:
+    """The CTEs of a second fit beside the first one, under other names."""
+    return [re.sub(r"\b(train|gram|ridge|xrows|xty|aug|el|fit)\b", r"low_\1", c) for c in ctes if not c.startswith(("folds", "phi"))]
+
+
+THREE = """low_held AS (SELECT f.variable, f.feat_idx, o.member, o.value AS truth, list_dot_product(f.coef, p.phi) AS pred FROM low_fit f JOIN outputs o ON o.variable = f.variable AND o.feat_idx = f.feat_idx JOIN phi p ON p.member = o.member JOIN folds d ON d.member = o.member AND d.fold = f.k WHERE o.level = 1),
+three AS (SELECT 'surrogate' AS predictor, variable, feat_idx, truth, pred FROM held UNION ALL SELECT 'lower surrogate', variable, feat_idx, truth, pred FROM low_held UNION ALL SELECT 'lower run', h.variable, h.feat_idx, h.truth, o.value FROM held h JOIN outputs o USING (variable, feat_idx, member) WHERE o.level = 0)"""
+
+
+@query("holdout_baselines", recursive("SELECT predictor, variable, round(1 - sum(sse) / sum(sst), 6) AS r2, round(avg(sqrt(sse / n)), 6) AS rmse FROM (SELECT predictor, variable, feat_idx, count(*) AS n, sum((truth - pred) * (truth - pred)) AS sse, var_pop(truth) * count(*) AS sst FROM three GROUP BY ALL) GROUP BY ALL", *fit_ctes(1, 1, True), *_lower(fit_ctes(1, 0, True, loose=True)), HELD, THREE))
+def holdout_baselines(spark, d):
+    """Held-out members of the middle level by its own surrogate, by the lowest level's surrogate that saw none of their points, and by the lowest level's run there."""
+    from zonalis.operators.metrics import baselines
+
+    columns = ["member", *K, "truth", "pred"]
+    held = settled(_held(spark, d).select("k", *columns))
+    models = regression.fold_models(_training(spark, d, 0), _folds(spark, d), 1)
+    low = regression.predict_poly(models, _x(spark, d).join(_folds(spark, d).withColumnRenamed("fold", "k"), "member"), 1, ["k"]).select("member", *K, F.col("mean").alias("pred"))
+    truth = held.select("member", *K, "truth")
+    run = _level(spark, d, 0).select("member", *K, F.col("value").alias("pred"))
+    three = {"surrogate": held.select(columns), "lower surrogate": truth.join(low, ["member", *K]).select(columns), "lower run": truth.join(run, ["member", *K]).select(columns)}
+    return rounded(baselines(three, ["variable"], ["feat_idx"]), "r2", "rmse")
+
+
 @query("kfold_quadratic")
 def kfold_quadratic(spark, d):
     """Folds of the lowest level under the quadratic: as many members as the terms need."""
