@@ -20,6 +20,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def round_state(df: DataFrame) -> DataFrame:
+    """settled(), without the constraints that the optimiser has inferred about df.
+
+    A checkpoint keeps them, and in a loop they multiply from round to round. For the small tables that a loop carries.
+    """
+    kept = settled(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), df.sparkSession)
+
+
 def scratch(spark: SparkSession) -> str:
     """The name of a new folder in the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.functions.lineage import exists, settled
+from zonalis.functions.lineage import exists, round_state, settled
 
 
 def sigma_moment(residuals: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,7 +80,7 @@ def sigma_mle(residuals: DataFrame, keys: list[str], points: int = 8, first: int
     found = measured(state, sums(first + 1, value)).withColumn("_k", best).where("_k is not null")
     inside = F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (points + 1)).alias("_at")
     state = found.select(*keys, F.get("_at", F.greatest(F.col("_k") - 1, F.lit(0))).alias("_lo"), F.get("_at", F.least(F.col("_k") + 1, F.lit(first))).alias("_hi"), F.lit(1).alias("passes"))
-    state = settled(state.select("*", inside))
+    state = round_state(state.select("*", inside))
     wide = (F.col("_hi") - F.col("_lo") > tol * F.greatest("_hi", F.lit(LEAST_S2))) & (F.col("passes") < passes - 1)
     # The first value from which the NLL rises; it falls before that.
     up = F.array_position(F.transform("_f", lambda g: g >= 0), F.lit(True)).cast("int")
@@ -89,7 +89,7 @@ def sigma_mle(residuals: DataFrame, keys: list[str], points: int = 8, first: int
     closer = [*keys, F.when(wide, F.get(ends, up - 1)).otherwise(F.col("_lo")).alias("_lo"), F.when(wide, F.get(ends, up)).otherwise(F.col("_hi")).alias("_hi"), F.when(wide, F.col("passes") + 1).otherwise(F.col("passes")).alias("passes")]
     slopes = sums(points, slope)
     while not state.where(wide).isEmpty():
-        state = settled(measured(state, slopes).select(*closer).select("*", inside))
+        state = round_state(measured(state, slopes).select(*closer).select("*", inside))
     # An interval that closed in on zero is zero; the last pass takes the NLL there.
     middle = (F.col("_lo") + F.col("_hi")) / 2
     at = F.when((F.col("_lo") == 0.0) & (F.col("_hi") <= 2 * LEAST_S2 * tol), 0.0).otherwise(middle)

@@ -11,14 +11,17 @@ from zonalis.sources import fixtures as fx
 from .registry import query, rounded
 from .skill_queries import PAIRS, K, _level, _pairs, _x
 
-#: The sampled ranges of the first three parameters.
-BOX = "box AS (SELECT " + ", ".join(f"{f}(value) FILTER (WHERE param = {k}) AS {n}{k}" for k in range(3) for f, n in (("min", "lo"), ("max", "hi"))) + " FROM params)"
+#: The sampled ranges of all parameters, as one row of lists.
+BOX = "box AS (SELECT list(lo ORDER BY param) AS lo, list(hi ORDER BY param) AS hi FROM (SELECT param, min(value) AS lo, max(value) AS hi FROM params GROUP BY param))"
+XS = [f"x{k}" for k in range(fx.N_PARAMS)]
 
 
 def _box(spark, d):
-    """Three rows, one for each parameter, come to the driver."""
-    r = fx.params(spark, d).where("param < 3").groupBy("param").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-    return [(x["lo"], x["hi"]) for x in sorted(r, key=lambda x: x["param"])]
+    return fx.params(spark, d).groupBy("param").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+def _split(df, *more):
+    return rounded(df.select(*more, *(F.get("x", F.lit(k)).alias(n) for k, n in enumerate(XS))), *XS)
 
 
 def _u(key: str, k: str, seed: int) -> str:
@@ -28,17 +31,26 @@ def _u(key: str, k: str, seed: int) -> str:
 IDS = "ids AS (SELECT i FROM (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS i))"
 
 
-@query("starts_uniform", fx.sql(f"SELECT i AS start_idx, CAST(floor({_u('i', '3', 7)} * 2147483648e0) AS BIGINT) AS seed, round(lo0 + {_u('i', '0', 7)} * (hi0 - lo0), 6) AS x0, round(lo1 + {_u('i', '1', 7)} * (hi1 - lo1), 6) AS x1, round(lo2 + {_u('i', '2', 7)} * (hi2 - lo2), 6) AS x2 FROM ids, box", BOX, IDS))
+def _drawn(i: str, first: str) -> str:
+    return f"list_transform(range({fx.N_PARAMS}), lambda k: lo[k + 1] + {_u(i, f'({first} + k)', 7)} * (hi[k + 1] - lo[k + 1]))"
+
+
+X_COLUMNS = ", ".join(f"round(x[{k + 1}], 6) AS x{k}" for k in range(fx.N_PARAMS))
+
+
+@query("starts_uniform", fx.sql(f"SELECT start_idx, seed, {X_COLUMNS} FROM (SELECT i AS start_idx, CAST(floor({_u('i', str(fx.N_PARAMS), 7)} * 2147483648e0) AS BIGINT) AS seed, {_drawn('i', '0')} AS x FROM ids, box)", BOX, IDS))
 def starts_uniform(spark, d):
+    """As many starts as members, in the sampled box of all 19 parameters."""
     n = fx.read(spark, d, "embeddings").count()
-    s = search.starts_uniform(spark, n, _box(spark, d), 7)
-    return rounded(s.select("start_idx", "seed", *(F.get("x", F.lit(k)).alias(f"x{k}") for k in range(3))), "x0", "x1", "x2")
+    return _split(search.starts_uniform(spark, n, _box(spark, d), 7), "start_idx", "seed")
 
 
-@query("starts_feasible", fx.sql(f"SELECT i AS start_idx, CAST(min(k) AS INTEGER) AS draw FROM ids, (SELECT unnest(range(16)) AS k) WHERE {_u('i', 'k * 2', 7)} <= {_u('i', 'k * 2 + 1', 7)} GROUP BY i", IDS))
+@query("starts_feasible", fx.sql(f"SELECT start_idx, draw, {X_COLUMNS} FROM (SELECT i AS start_idx, CAST(draw AS INTEGER) AS draw, {_drawn('i', f'draw * {fx.N_PARAMS}')} AS x FROM firsts, box)", BOX, IDS,
+                                 f"firsts AS (SELECT i, min(k) AS draw FROM ids, box, (SELECT unnest(range(64)) AS k) WHERE lo[1] + {_u('i', f'(k * {fx.N_PARAMS})', 7)} * (hi[1] - lo[1]) <= lo[2] + {_u('i', f'(k * {fx.N_PARAMS} + 1)', 7)} * (hi[2] - lo[2]) GROUP BY i)"))
 def starts_feasible(spark, d):
+    """The first two parameters keep their order."""
     ids = fx.results(spark, d).select("start_idx")
-    return search.starts_feasible(ids, [(0.0, 1.0), (0.0, 1.0)], (0, 1), 7).select("start_idx", "draw")
+    return _split(search.starts_feasible(ids, _box(spark, d), (0, 1), 7).withColumn("draw", F.col("draw").cast("int")), "start_idx", "draw")
 
 
 @query("rank_starts", fx.sql("SELECT CAST(row_number() OVER (ORDER BY cost, start_idx) AS INTEGER) AS rank, start_idx, round(cost, 6) AS cost FROM results ORDER BY cost, start_idx LIMIT 10"))
@@ -77,23 +89,6 @@ def warm_chain_rounds(spark, d):
     return rounded(search.warm_chain_rounds(fx.calibration_rounds(spark, d), ["variable", "block"], 0.02), "change")
 
 
-def _quadratic(target: list[float]):
-    def score(c):
-        t = F.array(*map(F.lit, target))
-        return c.select("cand_id", F.aggregate(F.zip_with("x", t, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("cost"))
-
-    return score
-
-
-@query("search_multistart")
-def search_multistart(spark, d):
-    """Every result point starts a search for the first member's own parameters."""
-    r = fx.results(spark, d)
-    goal = [min(max(v, -1.0), 1.0) for v in r.where("start_idx = 0").first()["x"][:3]]
-    starts = r.select("start_idx", F.transform(F.slice("x", 1, 3), lambda v: F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0))).alias("x"))
-    return search.search_multistart(starts, _quadratic(goal), [(-1.0, 1.0)] * 3, rounds=6)
-
-
 @query("cov_slices", fx.sql("SELECT member, round(c / (a * c - b * b), 6) AS vii, round(a / (a * c - b * b), 6) AS vjj, round(-b / (a * c - b * b), 6) AS vij, round(1 / a, 6) AS naive_i, round(1 / c, 6) AS naive_j FROM (SELECT member, 2e0 + abs(e[1]) AS a, e[2] AS b, 2e0 + abs(e[3]) AS c FROM vectors)"))
 def cov_slices(spark, d):
     e = lambda k: F.get("e", F.lit(k))

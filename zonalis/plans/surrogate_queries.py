@@ -299,3 +299,12 @@ def profile_scan(spark, d):
 
     out = sensitivity.profile_scan(score, b.select("param", "value", "lo", "hi"), P, 0.01)
     return rounded(out.select("param", "direction", "crossing", "open"), "crossing")
+
+
+@query("search_multistart")
+def search_multistart(spark, d):
+    """Every member's parameters start a search in all 19 of them, for the least cost of all 44 predictions, until steps end."""
+    from zonalis.operators import search
+
+    starts = _x(spark, d).withColumnRenamed("member", "start_idx")
+    return search.search_multistart(starts, _cost(spark, d), _box(spark, d), rounds=100, tol=0.05)
