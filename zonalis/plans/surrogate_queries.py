@@ -303,8 +303,8 @@ def profile_scan(spark, d):
 
 @query("search_multistart")
 def search_multistart(spark, d):
-    """Every member's parameters start a search in all 19 of them, for the least cost of all 44 predictions, until steps end."""
+    """Every member's parameters start a search in all 19 of them, for the least cost of all 44 predictions: until steps end, 25 rounds at most."""
     from zonalis.operators import search
 
     starts = _x(spark, d).withColumnRenamed("member", "start_idx")
-    return search.search_multistart(starts, _cost(spark, d), _box(spark, d), rounds=100, tol=0.05)
+    return search.search_multistart(starts, _cost(spark, d), _box(spark, d), rounds=25, tol=0.05)
