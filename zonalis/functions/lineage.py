@@ -26,7 +26,7 @@ def round_state(df: DataFrame) -> DataFrame:
     A checkpoint keeps them, and in a loop they multiply from round to round. For the small tables that a loop carries.
     """
     kept = settled(df)
-    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), df.sparkSession)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(kept._jdf.toDF().javaRDD(), kept._jdf.schema()), df.sparkSession)
 
 
 def scratch(spark: SparkSession) -> str:
