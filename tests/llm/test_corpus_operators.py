@@ -472,3 +472,12 @@ def test_fit_budget_against_all_sums():
         got = mixing.fit_budget(counts, budget)
         assert all(0 < c <= counts[n] for n, c in got.items())
         assert abs(sum(n * c for n, c in got.items()) - budget) == nearest_sums([n for n, c in counts.items() for _ in range(c)], budget)
+
+
+def test_rules_sample_ids_and_not_rows(spark):
+    """An id that stands on more rows than the sample has places takes one of them."""
+    ids = [r["id"] for r in spark.range(120).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(ids[0], prose(7, 60), "a")] * 200 + [(i, prose(i, 40 + i) + " !" * (i % 5), "a") for i in ids[1:]] + [(1000 + i, "$$$ ### " * 30 + prose(i, 40), "a") for i in range(30)]
+    labels = spark.createDataFrame([(i, 1) for i in ids] + [(1000 + i, 0) for i in range(30)], "doc_id long, quality int")
+    out = rules.judge(table(spark, rows), labels, max_sample=150).collect()
+    assert len(out) == len(rows) and len({r["anomaly"] for r in out}) > 1
