@@ -45,6 +45,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         """Broadcast if it is small: every table here has a few numbers in a row."""
         return F.broadcast(df) if fits_broadcast(df, F.lit(16 * len(df.columns)), broadcast_mb) else df
 
+    docs = one_row_each(docs, full, sets, hinted)
     one = full.join(hinted(sets.select("set", F.col("rep").alias("doc_id"), "hash", *key)), ["doc_id", "hash", *key]).dropDuplicates(["set"])
     w = Window.partitionBy("band")
     shared = one.select("set", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
@@ -115,6 +116,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def one_row_each(docs: DataFrame, full: DataFrame, sets: DataFrame, hinted) -> DataFrame:
+    """docs, with one row for each representative's text that stands on several equal rows.
+
+    Texts are fetched by (doc_id, hash); without this, pairs of repeated rows would be compared in the square.
+    """
+    twice = full.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    twice = cut(sets.select(F.col("rep").alias("doc_id"), "hash").distinct().join(twice, ["doc_id", "hash"]))
+    if twice.isEmpty():
+        return docs
+    twice = hinted(twice)
+    once = stored(docs.join(twice, ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(F.first("text").alias("text")))
+    return docs.join(twice, ["doc_id", "hash"], "left_anti").unionByName(once)
+
+
 def cold_tested(tested: DataFrame) -> DataFrame:
     """The pairs that were tested, both ways."""
     return tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
