@@ -111,6 +111,25 @@ def test_line_dedup_finds_edited_lines(spark):
     assert all((of[a] == of[b]) == (root[a] == root[b]) for a, b in itertools.combinations(sorted(want), 2))
 
 
+def test_lines_of_scattered_edits_reach_the_edit_test(spark):
+    """The trigram test puts aside no pair that is similar: spread edits leave few words equal."""
+    rng = np.random.default_rng(8)
+    pairs = []
+    for k in range(120):
+        line = prose(500 + k, 4 + k // 2)
+        chars = list(line)
+        for at in rng.choice(len(chars), int(len(chars) * rng.choice([0.04, 0.1, 0.2, 0.3])), replace=False):
+            chars[at] = (chars[at] + "x", "", "z")[int(rng.integers(3))]
+        pairs.append((k, line, "".join(chars)))
+    pairs += [(900, "", ""), (901, "ab", "ab"), (902, "ab", "abc"), (903, "aaaaaaaaaa", "aaaaaaaaab")]
+    df = spark.createDataFrame(pairs, "k int, x string, y string")
+    df = df.withColumns({"gx": line_dedup.trigrams(F.col("x")), "gy": line_dedup.trigrams(F.col("y"))})
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * 20 / 100)
+    got = df.select("k", line_dedup.same_line(*map(F.col, ("x", "y", "gx", "gy")), 80).alias("got"), (F.levenshtein("x", "y") <= most).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+    assert 40 < sum(r["want"] for r in got) < len(got)
+
+
 def test_line_dedup_of_short_and_unspaced_lines(spark):
     rng = np.random.default_rng(9)
     long = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 200))
@@ -181,6 +200,19 @@ def test_near_duplicates_whatever_counts_as_a_crowd(spark, crowd):
     assert {r["doc_id"]: r["component_id"] for r in got} == root and len(got) == len(rows)
 
 
+def test_repeated_rows_are_compared_once(spark):
+    """Two near copies on a thousand equal rows each: one text of each is fetched, and the groups are right."""
+    base = prose(3, 60)
+    rows = [(1, base, "a")] * 1000 + [(2, base + " more", "a")] * 1000 + [(3, prose(9, 60), "a"), (None, base, "a")]
+    docs = table(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    full = docs.where("doc_id is not null").select("doc_id", "hash")
+    sets = full.distinct().select(F.col("doc_id").alias("rep"), "hash")
+    each = near_dedup.one_row_each(docs, full, sets, lambda x: x).where("doc_id is not null").groupBy("doc_id").count().collect()
+    assert {(r["doc_id"], r["count"]) for r in each} == {(1, 1), (2, 1), (3, 1)}
+    got = near_dedup.near_duplicates(table(spark, rows)).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1, True, 1000), (2, 1, False, 1000), (3, 3, True, 1), (None, None, True, 1)}
+
+
 def test_super_min_hash_estimates_and_is_order_free():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
@@ -474,6 +506,20 @@ def test_fit_budget_against_all_sums():
         assert abs(sum(n * c for n, c in got.items()) - budget) == nearest_sums([n for n, c in counts.items() for _ in range(c)], budget)
 
 
+def test_fit_budget_of_long_documents():
+    """Budgets above dp_words are fitted exactly, too, and a sum that nothing can improve ends the search."""
+    rng = np.random.default_rng(31)
+    for case in range(120):
+        hi = (100, 3000, 65_000)[case % 3]
+        counts = {int(n): int(rng.integers(1, 4)) for n in rng.integers(hi // 3, hi, int(rng.integers(2, 6)))}
+        budget = int(rng.integers(1, sum(n * c for n, c in counts.items())))
+        got = mixing.fit_budget(counts, budget, dp_words=(64, 1 << 16)[case % 2])
+        assert all(0 < c <= counts[n] for n, c in got.items())
+        assert abs(sum(n * c for n, c in got.items()) - budget) == nearest_sums([n for n, c in counts.items() for _ in range(c)], budget)
+    assert sum(n * c for n, c in mixing.fit_budget({61_427: 1, 24_771: 2, 62_155: 2}, 204_080).items()) == 210_508
+    assert sum(n * c for n, c in mixing.fit_budget({60_000: 5000, 61_000: 3000, 65_000: 999}, 400_000_123).items()) == 400_000_000
+
+
 def test_rules_sample_ids_and_not_rows(spark):
     """An id that stands on more rows than the sample has places takes one of them."""
     ids = [r["id"] for r in spark.range(120).orderBy(F.xxhash64("id"), "id").collect()]
