@@ -35,7 +35,7 @@ ODDS, STRONG = 2.5, 4.5
 THEMES = {
     "folly": "blockhead blödmann bobo crétin dumb dummkopf estúpido fool idiot idiota idioten imbécil imbécile loser moron perdedor stupid stupide trottel tonto versager",
     "contempt": "abschaum asqueroso basura dreck escoria filth garbage inútil minable ordure pathetic patético scum trash vermin wertlos worthless",
-    "threat": "crève die hang kill mata muere shoot stirb strangle tuer umbringen",
+    "threat": "crève hang kill mata muere shoot stirb strangle tuer umbringen",
 }
 THEMES = {k: frozenset(v.split()) for k, v in THEMES.items()}
 #: Voters on characters, lines and neighbours; each sees the whole text.
