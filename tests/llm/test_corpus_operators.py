@@ -300,7 +300,7 @@ def test_field_learns_its_tags():
     texts = [f'say token = "{hashlib.sha1(str(i).encode()).hexdigest()}" or order abc-{i}2345-def-x' for i in range(60)]
     data = [x for t in texts for x in secrets.tagged(t)]
     model = secrets.Field().fit(data)
-    assert np.mean([model.decode(run) == tags for run, tags in data]) > 0.95
+    assert np.mean([model.decode(run, gap) == tags.tolist() for run, gap, tags in data]) > 0.95
 
 
 def test_field_finds_secrets_without_a_pattern_and_leaves_others():
@@ -316,18 +316,57 @@ def test_field_finds_secrets_without_a_pattern_and_leaves_others():
     found, wrong, there = 0, 0, 0
     for i in range(1000, 1120):
         t = text(i, i % 2)
-        n = t.count("\n") + 1
-        for run in secrets.token_runs(t):
-            for (a, z), tag in zip(run, model.decode([secrets.features(t, a, z, n) for a, z in run]), strict=True):
-                secret = z - a >= 24
-                there += secret
-                found += secret and tag == secrets.BEGIN
-                wrong += not secret and tag != secrets.OUT
+        run, gap, start, end = secrets.Reader().read(t)
+        for a, z, tag in zip(start, end, model.decode(run, gap), strict=True):
+            secret = z - a >= 24
+            there += secret
+            found += secret and tag == secrets.BEGIN
+            wrong += not secret and tag != secrets.OUT
     assert not secrets.base_spans(text(1001, 1)) and there == 60
     assert found >= 0.9 * there and wrong <= 0.02 * there
     for benign in ("abc-12345-def-xyz", "release-2024-01-15-final", "IMG_20240115_093012_burst", "978-3-16-148410-0a", "/blog/2024/05/post-title-42"):
         t = f"{prose(3, 10)} see {benign} for more {prose(4, 10)}"
-        assert all(tag == secrets.OUT for run in secrets.token_runs(t) for tag in model.decode([secrets.features(t, a, z, 1) for a, z in run]))
+        assert not any(model.decode(*secrets.Reader().read(t)[:2]))
+
+
+def test_whole_texts_are_decoded_as_one_path():
+    rng = np.random.default_rng(8)
+    reader = secrets.Reader()
+    for k in range(60):
+        model = secrets.Field(rng.normal(size=(secrets.N_FEATURES, 3)) * 0.5 + [k % 4, 0, 0], rng.normal(size=(3, 3)))
+        run, gap, start, end = reader.read(f"{prose(k, 60)} a=b-{k}/c_d.e,f (g) key: x{k}Y-z {prose(k + 1, 30)}")
+        assert model.whole(run, gap).tolist() == model.decode(run, gap)
+    text = " \n\tab c-9\u00a0Zürich \ud800! "
+    assert [text[a:z] for a, z in zip(*reader.read(text)[2:], strict=True)] == ["ab", "c", "-", "9", "Zürich", "\ud800", "!"]
+    assert reader.read("")[0].shape == reader.read(" \n")[0].shape == (0, secrets.OWN + secrets.AROUND + secrets.WIDER)
+
+
+def test_field_finds_generated_kinds_it_has_not_seen():
+    plain = "the river runs past old mills and quiet farms while people walk home in the evening after work".split()
+    texts = [" ".join(plain[(i * k) % 18] for k in range(1, 40)) for i in range(500)]
+    for kind, least in (("prefixed", 0.9), ("bare", 0.9), ("groups", 0.9), ("dotted", 0.9)):
+        kinds = tuple(k for k in secrets.MADE if k != kind)
+        model = secrets.Field().fit(secrets.both_ways([x for i, t in enumerate(texts[:400]) for x in secrets.lessons(t, i, 4, kinds)]))
+        touched = wrong = 0
+        for i, t in enumerate(texts[400:]):
+            for what in (kind, "benign"):
+                whole, spans = secrets.planted(t, what, np.random.default_rng(1000 + i))
+                got = secrets.added(whole, [], model, secrets.Reader())
+                touched += any(a < q and p < z for p, q in spans for a, _, z in got)
+                wrong += any(not any(a < q and p < z for p, q in spans) for a, _, z in got)
+        assert touched >= least * 100 and wrong <= 10, (kind, touched, wrong)
+
+
+def test_secrets_in_odd_texts(spark):
+    long = ("word " * 40000) + "password: abcdefgh12 " + ("x1Y2-" * 20000) + " end"
+    rows = [(1, long, "a"), (1, long, "a"), (2, "\n \t", "a"), (3, "A" * 100000, None), (None, "a1b2 " * 3000, "a")]
+    docs = table(spark, rows)
+    got = secrets.find_secrets(docs.withColumns({"spans": F.lit(1), "run": F.lit(2)})).collect()
+    assert len(got) == 5 and len({repr(r["spans"]) for r in got if r["doc_id"] == 1}) == 1
+    for r in got:
+        spans = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "crf"]
+        assert all(a < z for a, z in spans) and all(z <= a for (_, z), (a, _) in itertools.pairwise(spans))
+    assert any(s["kind"] == "assign" for r in got if r["doc_id"] == 1 for s in r["spans"])
 
 
 def test_toxicity_on_held_out_rows(spark):

@@ -1,11 +1,14 @@
-"""Secret scan: fixed patterns, and a linear-chain conditional random field over credential-like tokens.
-
-Tokens that cannot be part of a credential (no digit, no letter, too short) are outside by
-definition, so they cut a text into short runs that are decoded one by one by Viterbi: exactly
-the path that a decode of the whole text would give. The field is trained here, on all tokens with a
-digit of a bounded sample of documents: those in a match of the fixed patterns are secret, numbers, dates
-and names are outside. What it learns from shape, neighbours and file then also tags credentials that the
-patterns do not name.
+"""Secret scan: fixed patterns, and a linear-chain conditional random field over all tokens of a text.
+
+A token is a run of letters and digits or one other character that is not white space. The field sees a token's
+shape, the stretch without white space it stands in, its neighbours, names of credentials before it, and the file.
+Tags are begin, inside (only where no white space stands before) and outside. Whole texts are decoded by Viterbi:
+a token that is outside in every best path, whatever its neighbours are, cuts the text, and what is between such
+tokens is decoded by itself, which gives the path of the whole text.
+
+The field is trained here on windows of consecutive tokens from a bounded sample of documents, whose tokens inside
+a match of the fixed patterns are secret, and on generated credentials of other kinds (and things that look like
+them) put between words of these documents.
 """
 
 from __future__ import annotations
@@ -13,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +32,18 @@ ASSIGN = re.compile(r"(?a:(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
-DIGITS = re.compile(r"[0-9]+")
-PIECE = re.compile(r"[A-Za-z0-9+/_=-]+")
-NEIGHBOUR = re.compile(r"\S+")
-PIECE_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+#: Tokens that name a credential, in a few languages.
+NAMES = re.compile(r"(?i:passw|passphrase|secret|token|key|pwd|credential|bearer|auth|clave|contrase|passe)")
+PIECE = re.compile(r"\s+|[^\W_]+|[\W_]")
 KINDS = ("assign", "access", "hex", "crf")
 OUT, BEGIN, INSIDE = range(3)
-N_FEATURES = 1 << 12
-#: Places of the features that see the words and signs right beside a token.
-BESIDE = frozenset((8, 9, 10, 12))
-#: Least characters of a token with digits and letters that the field may tag, as in the fixed pattern of assignments.
-MIN_TOKEN = 8
+N_FEATURES = 1 << 14
+#: Tokens in a training window, and how far before a token a name of a credential counts.
+WINDOW, REACH = 16, 6
+#: Tokens scored at once, and tokens whose features are remembered.
+BLOCK, REMEMBERED = 1 << 15, 1 << 17
+#: Columns of the features, by what they see: the token itself, then its neighbours, then its stretch and file.
+OWN, AROUND, WIDER = 8, 4, 5
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,65 +58,200 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def token_runs(text: str, every: bool = False) -> list[list[tuple[int, int]]]:
-    """Runs of credential-like tokens that stand next to each other, in order; with every, of all tokens with a digit."""
-    runs: list[list[tuple[int, int]]] = []
-    end = -1
-    for m in DIGITS.finditer(text):
-        a = m.start()
-        if a < end:
-            continue
-        while a > 0 and text[a - 1] in PIECE_CHARS:
-            a -= 1
-        z = PIECE.match(text, a).end()
-        token = text[a:z]
-        if every or (len(token) >= MIN_TOKEN and any(c.isalpha() for c in token)):
-            if runs and not text[end:a].strip():
-                runs[-1].append((a, z))
-            else:
-                runs.append([(a, z)])
-        end = z
-    return runs
-
-
-def shape(token: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", token))))[:8]
-
-
-def features(text: str, a: int, z: int, lines: int) -> list[int]:
-    """Hashed ids of what the field sees of one token: its shape, its neighbours and its file."""
-    token = text[a:z]
-    digits, upper = sum(c.isdigit() for c in token), sum(c.isupper() for c in token)
-    flips = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:], strict=False))
-    before = text[max(0, a - 40):a]
-    words = before.split()
-    after = NEIGHBOUR.search(text, z)
-    seen = [
-        "shape", f"len{min(len(token) // 4, 16)}", f"digits{10 * digits // len(token)}", f"upper{10 * upper // len(token)}",
-        f"flips{10 * flips // len(token)}", f"sh{shape(token)}", f"hex{not token.strip('0123456789abcdef')}", f"sep{sum(c in '+/_=-' for c in token)}",
-        f"prev{re.sub('[0-9]+', '9', words[-1].lower())[-12:] if words else ''}", f"prev2{words[-2].lower()[-12:] if len(words) > 1 else ''}",
-        f"joint{before[-2:] if before[-1:] in tuple('=:\"') else ''}", f"next{len(after[0]) // 4 if after else -1}", f"quote{text[z:z + 1] in tuple(chr(34) + chr(39))}",
-        f"key{bool(KEYWORD.search(before))}", f"file{min(len(text).bit_length(), 20)}", f"wide{min((len(text) // lines).bit_length(), 16)}",
-    ]
-    return [zlib.crc32(x.encode()) % N_FEATURES for x in seen]
-
-
-def tagged(text: str) -> list[tuple[list[list[int]], list[int]]]:
-    """The runs of a text as training sequences: a token inside a fixed pattern's match is secret."""
-    base = base_spans(text)
-    out, lines = [], text.count("\n") + 1
-    for run in token_runs(text, every=True):
-        tags, last = [], None
-        for a, z in run:
-            span = next((s for s in base if s[0] < z and a < s[2]), None)
-            tags.append(OUT if span is None else INSIDE if span == last else BEGIN)
-            last = span
-        seen = [features(text, a, z, lines) for a, z in run]
-        # Once more without what stands right beside, which the fixed patterns ask for: shape alone must do, too.
-        out += [(seen, tags), ([[x for i, x in enumerate(f) if i not in BESIDE] for f in seen], tags)]
+def hashed(x: str) -> int:
+    return zlib.crc32(x.encode("utf-8", "surrogatepass")) % N_FEATURES
+
+
+#: What stands for a neighbour that is not shown.
+HIDDEN = hashed("hidden")
+VOWELS = str.maketrans("", "", "aeiouyäöüáéíóúàèêâîôûAEIOUY")
+SHAPES = str.maketrans(dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A") | dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a") | dict.fromkeys("0123456789", "9"))
+
+
+@lru_cache(1 << 12)
+def look(n: int, forms: str, digits: int, upper: int, vowels: int, hexed: bool) -> list[int]:
+    """Features of a token's shape: length, classes of its first characters, counts."""
+    size = min(n, 8) if n < 8 else 6 + n.bit_length()
+    kind = "alpha" if digits == 0 else "digit" if digits == n else "both"
+    flips = sum(x != y for x, y in zip(forms, forms[1:], strict=False))
+    first = "".join(c for i, c in enumerate(forms) if c != forms[i - 1:i])[:6]
+    return [hashed(x) for x in (f"size{size}{kind}", f"form{first}", f"digits{6 * digits // n}{size}", f"upper{4 * upper // n}{flips > 2}", f"flips{min(flips, 12)}{size}", f"hex{hexed}{size}", f"vowels{8 * vowels // min(n, 64)}{kind}")]
+
+
+def seen_of(token: str) -> list[int]:
+    """Features of a token by itself, a hash of what it is to its neighbours, and its counts of digits, capitals and characters, whether it names a credential, whether it is white space."""
+    n, head = len(token), token[:64]
+    alpha = token.isalpha()
+    if alpha and token.islower():
+        digits = upper = 0
+        forms = "a"
+    else:
+        digits, upper, forms = sum(map(str.isdigit, token)), sum(map(str.isupper, token)), head.translate(SHAPES)
+    own = look(n, forms, digits, upper, len(head) - len(head.translate(VOWELS)), not token.strip("0123456789abcdefABCDEF"))
+    word = token.lower()[:14] if alpha else token if n == 1 else "9" if digits == n else "mixed"
+    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return [*own, h % N_FEATURES, h >> 1, digits, upper, n, int(alpha and 2 < n < 32 and NAMES.search(token) is not None), int(token.isspace())]
+
+
+class Reader:
+    """Turns texts into token features; remembers what tokens look like."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.rows = np.zeros((1024, OWN + 6), dtype=np.int32)
+
+    def look_up(self, pieces: list[str]) -> np.ndarray:
+        if len(self.number) > REMEMBERED:
+            self.number.clear()
+        number, old = self.number, len(self.number)
+        new = [p for p in {*pieces} if p not in number]
+        if new:
+            number.update(zip(new, range(old, old + len(new)), strict=True))
+            while len(self.rows) < len(number):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[old:len(number)] = [seen_of(p) for p in new]
+        return self.rows[np.fromiter(map(number.__getitem__, pieces), dtype=np.int64, count=len(pieces))]
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Features (token x column), whether white space or the text's start is before a token, and start and end of each token."""
+        rows = self.look_up(PIECE.findall(text))
+        ends = rows[:, OWN + 3].cumsum(dtype=np.int64)
+        stay = np.flatnonzero(rows[:, -1] == 0)
+        gap = np.diff(stay, prepend=-2) > 1
+        rows, ends = rows[stay], ends[stay]
+        n = len(rows)
+        word, digits, upper, size, name = rows[:, OWN:-1].T
+        around = np.full((n, AROUND), HIDDEN, dtype=np.int32)
+        for c, step in enumerate((1, 2, 3)):
+            around[step:, c] = (word[:n - step] >> 3 + c) % N_FEATURES if n > step else HIDDEN
+        around[:-1, 3] = (word[1:] >> 6) % N_FEATURES
+        if n:
+            stretch = gap.cumsum() - gap[0]
+            of = [np.bincount(stretch, weights=x)[stretch] for x in (size, digits, upper)]
+            room = np.minimum(np.ceil(2 * np.log2(of[0])), 16).astype(np.int64)
+            share = np.minimum(6 * of[1] // of[0], 5).astype(np.int64) + 6 * np.minimum(4 * of[2] // of[0], 3).astype(np.int64)
+            told = np.concatenate([[0], name.cumsum()])
+            at = np.arange(n)
+            near = told[at] > told[np.maximum(at - REACH, 0)]
+            lines = text.count("\n") + 1
+            wider = np.stack([31 + room, 64 + share + 24 * room, 512 + near + 2 * room, np.full(n, 600 + min(len(text).bit_length(), 24)), np.full(n, 640 + min((len(text) // lines).bit_length(), 24))], axis=1)
+            # Joint with glue: a token that goes on a stretch is another thing than one that opens it.
+            wider[:, 0] += 700 * ~gap
+        else:
+            wider = np.zeros((0, WIDER), dtype=np.int32)
+        return np.concatenate([rows[:, :OWN], around, (wider * 7919 % N_FEATURES).astype(np.int32)], axis=1), gap, ends - size, ends
+
+
+def tags_of(spans: list[tuple[int, int]], gap: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Tags of tokens from (start, end) of secrets; what goes on after white space begins anew."""
+    tags = np.zeros(len(start), dtype=np.int64)
+    for a, z in spans:
+        i, j = np.searchsorted(end, a, "right"), np.searchsorted(start, z, "left")
+        tags[i:j] = np.where(gap[i:j], BEGIN, INSIDE)
+        tags[i:i + 1] = BEGIN
+    return tags
+
+
+def secret_values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what the fixed patterns hold to be secret, without the name before it, joined where they overlap."""
+    found = sorted([(m.start(1), m.end(1)) for m in ASSIGN.finditer(text) if len(m[1]) >= 8] + [(a, z) for a, k, z in base_spans(text) if k])
+    out: list[tuple[int, int]] = []
+    for a, z in found:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def windows(text: str, spans: list[tuple[int, int]], reader: Reader) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, gap, tags) of consecutive windows; none opens or ends inside a secret."""
+    x, gap, start, end = reader.read(text)
+    tags = tags_of(spans, gap, start, end)
+    out, a = [], 0
+    while a < len(tags):
+        z = min(a + WINDOW, len(tags))
+        while z < len(tags) and tags[z] == INSIDE:
+            z += 1
+        out.append((x[a:z], gap[a:z], tags[a:z]))
+        a = z
     return out
 
 
+def tagged(text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows of a text as training sequences."""
+    return both_ways(windows(text, secret_values(text), Reader()))
+
+
+def both_ways(data: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each window, and once more without its neighbours: shape alone must do, too."""
+    out = []
+    for x, gap, tags in data:
+        bare = x.copy()
+        bare[:, OWN:OWN + AROUND] = HIDDEN
+        out += [(x, gap, tags), (bare, gap, tags)]
+    return out
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ALNUM = LETTERS + LETTERS.upper() + "0123456789"
+
+
+def made(kind: str, rng: np.random.Generator) -> tuple[str, str, str]:
+    """(text before, the thing, text after) of a generated credential, or of a benign look-alike, in the given kind."""
+
+    def some(chars: str, low: int, high: int) -> str:
+        return "".join(chars[i] for i in rng.integers(0, len(chars), rng.integers(low, high + 1)))
+
+    def one(*of: str) -> str:
+        return of[rng.integers(len(of))]
+
+    name = one("key", "access key", "token", "secret", "credentials", "auth", "client secret", "bearer", "signing key")
+    said = one(" ", ": ", " = ", " is ", "=", ' "')
+    year, month, day = rng.integers(1990, 2040), rng.integers(1, 13), rng.integers(1, 29)
+    if kind == "prefixed":
+        sep = one("_", "-")
+        return one("", f"{name}{said}"), some(LETTERS, 2, 5) + sep + one("", some(LETTERS, 3, 6) + sep) + some(ALNUM, 16, 44), ""
+    if kind == "bare":
+        return f"{name}{said}", some(ALNUM + one("", "+/"), 20, 64), ""
+    if kind == "capitals":
+        return one("", f"{name}{said}"), some("0123456789ABCDEF", 20, 48), ""
+    if kind == "spoken":
+        return one("the password", "password", "passphrase", "das Passwort", "la contraseña", "le mot de passe", "pwd", "login pass") + one(" is ", " ist ", " es ", " est ", " ", ": "), one("", some(LETTERS, 1, 4).title()) + some(ALNUM + one("", "!#$%_"), 7, 18), ""
+    if kind == "address":
+        return f"{one('postgres', 'mysql', 'amqp', 'https', 'redis', 'ftp')}://{some(LETTERS, 3, 8)}:", some(ALNUM + "_!", 8, 24), f"@{some(LETTERS, 3, 8)}.{one('com', 'org', 'local')}/{some(LETTERS, 2, 6)}"
+    if kind == "groups":
+        return one("", f"{name}{said}"), "-".join(some(ALNUM if i else LETTERS, *((10, 26) if i else (2, 4))) for i in range(rng.integers(2, 5))), ""
+    if kind == "dotted":
+        return one("", f"{name}{said}"), ".".join(some(ALNUM + "_-", 18, 44) for _ in range(3)), ""
+    benign = (
+        lambda: f"{year}-{month:02}-{day:02}T{month:02}:{day:02}:00Z", lambda: f"{some(LETTERS.upper(), 2, 4)}-{year}-{rng.integers(10**4):04}", lambda: f"IMG_{year}{month:02}{day:02}_{some('0123456789', 6, 6)}",
+        lambda: "-".join(some("0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12)), lambda: f"978-3-{some('0123456789', 2, 3)}-{some('0123456789', 5, 6)}-{rng.integers(10)}",
+        lambda: f"https://www.{some(LETTERS, 4, 9)}.com/{year}/{month:02}/{some(LETTERS, 3, 8)}-{some(LETTERS, 3, 8)}", lambda: f"v{rng.integers(9)}.{rng.integers(30)}.{rng.integers(9)}-rc{rng.integers(9)}",
+        lambda: f"{some(LETTERS, 3, 8)}.{some(LETTERS, 3, 8)}{rng.integers(99)}@{some(LETTERS, 4, 9)}.org", lambda: f"+{some('0123456789', 2, 2)} {some('0123456789', 3, 4)} {some('0123456789', 6, 8)}", lambda: some("0123456789", 4, 16),
+        lambda: some(LETTERS, 3, 7) + some(LETTERS, 3, 7).title() + some(LETTERS, 3, 7).title() + "()", lambda: f"{some(LETTERS, 3, 9)}{rng.integers(100)}", lambda: f"{some(LETTERS, 3, 9)}_{some(LETTERS, 3, 9)}.{one('py', 'txt', 'tar.gz', 'json')}",
+        lambda: some("0123456789abcdef", 7, 10), lambda: some(LETTERS, 5, 14).upper(),
+    )[rng.integers(15)]
+    return one("", "", "", "the " + name + " is ", "passwords are ", "token number "), benign() if rng.random() < 0.7 else some(LETTERS, 3, 12), ""
+
+
+#: Kinds of generated credentials that no fixed pattern names.
+MADE = ("prefixed", "bare", "capitals", "spoken", "address", "groups", "dotted")
+
+
+def planted(text: str, kind: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
+    """Some words of a text around a generated thing, and where it is if it is a credential."""
+    words = text[:20000].split(" ")
+    at = int(rng.integers(0, len(words)))
+    left, right = " ".join(words[max(0, at - 8):at])[-120:], " ".join(words[at:at + 8])[:120]
+    before, thing, after = made(kind, rng)
+    head = f"{left} {before}"
+    whole = f"{head}{thing}{after}{'.' if rng.random() < 0.1 else ''} {right}"
+    here = [(len(head), len(head) + len(thing))] if kind in MADE else []
+    old = [(a, z) for a, z in secret_values(whole) if not any(a < q and p < z for p, q in here)]
+    return whole, sorted(old + here)
+
+
 class Field:
     """Weights of a linear-chain conditional random field over three tags."""
 
@@ -119,13 +260,18 @@ class Field:
         self.move = np.zeros((3, 3)) if move is None else move
         self.move[OUT, INSIDE] = -1e9  # an inside tag needs a begin before it
 
-    def scores(self, run: list[list[int]]) -> np.ndarray:
-        return np.array([self.emit[f].sum(axis=0) for f in run])
+    def scores(self, run, gap: np.ndarray | None = None) -> np.ndarray:
+        run = np.asarray(run, dtype=np.int64)
+        s = np.zeros((len(run), 3))
+        for a in range(0, len(run), BLOCK):
+            s[a:a + BLOCK] = self.emit[run[a:a + BLOCK]].sum(axis=1)
+        if gap is not None:
+            s[gap, INSIDE] = -1e9
+        return s
 
-    def decode(self, run: list[list[int]]) -> list[int]:
+    def best(self, s: np.ndarray) -> list[int]:
         """Viterbi, from outside and back to outside."""
-        s, back = self.scores(run), []
-        best = s[0] + self.move[OUT]
+        back, best = [], s[0] + self.move[OUT]
         for x in s[1:]:
             step = best[:, None] + self.move
             back.append(step.argmax(axis=0))
@@ -135,80 +281,134 @@ class Field:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
-    def fit(self, data: list[tuple[list[list[int]], list[int]]], epochs: int = 8, rate: float = 0.1, decay: float = 1e-4) -> Field:
-        """Stochastic gradient of the log-likelihood by forward-backward, in the given order."""
+    def decode(self, run, gap: np.ndarray | None = None) -> list[int]:
+        return self.best(self.scores(run, gap))
+
+    def whole(self, run: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """The best path of a whole text, as decode gives it, by decoding only what may be a secret.
+
+        Making a token outside costs at most the spread of the three transitions that change, and the difference
+        between inside and begin of the next token, which may have to begin anew. A token that gains more than
+        that is outside in every best path.
+        """
+        s = self.scores(run, gap)
+        allowed = np.delete(self.move.ravel(), OUT * 3 + INSIDE)
+        cost = 3 * (allowed.max() - allowed.min()) + 1e-6
+        anew = np.append(np.maximum(s[1:, INSIDE] - s[1:, BEGIN], 0), 0)[:len(s)]
+        open_ = np.flatnonzero(s[:, OUT] - s[:, 1:].max(axis=1) <= cost + anew)
+        tags = np.zeros(len(s), dtype=np.int64)
+        for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
+            if len(part):
+                tags[part] = self.best(s[part])
+        return tags
+
+    def fit(self, data: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.05, decay: float = 1e-3, batch: int = 512) -> Field:
+        """Adaptive gradient steps of the log-likelihood by forward-backward, windows of like length together, in an order given by a seed."""
+        data = sorted(data, key=lambda d: len(d[2]))
+        parts, rng = [data[a:a + batch] for a in range(0, len(data), batch)], np.random.default_rng(7)
+        first, second, steps = np.zeros_like(self.emit), np.zeros_like(self.emit), 0
+        first_m, second_m = np.zeros((3, 3)), np.zeros((3, 3))
+        may = np.ones((3, 3))
+        may[OUT, INSIDE] = 0
         for _ in range(epochs):
-            for run, tags in data:
-                s, n = self.scores(run), len(run)
-                fwd, bwd = np.empty((n, 3)), np.empty((n, 3))
-                fwd[0] = s[0] + self.move[OUT]
+            for k in rng.permutation(len(parts)):
+                part = parts[k]
+                w, n = len(part), max(len(d[2]) for d in part)
+                x, tags = np.zeros((w, n, part[0][0].shape[1]), dtype=np.int64), np.zeros((w, n), dtype=np.int64)
+                there, glued = np.zeros((w, n), dtype=bool), np.ones((w, n), dtype=bool)
+                for i, (f, gap, t) in enumerate(part):
+                    x[i, :len(t)], tags[i, :len(t)], there[i, :len(t)], glued[i, :len(t)] = f, t, True, ~gap
+                s = self.emit[x].sum(axis=2)
+                s[~glued, INSIDE] = -1e9
+                s[~there, BEGIN:] = -1e9  # past a window's end all is outside
+                fwd, bwd = np.empty((w, n, 3)), np.empty((w, n, 3))
+                fwd[:, 0] = s[:, 0] + self.move[OUT]
                 for i in range(1, n):
-                    fwd[i] = np.logaddexp.reduce(fwd[i - 1][:, None] + self.move, axis=0) + s[i]
-                bwd[-1] = self.move[:, OUT]
+                    fwd[:, i] = np.logaddexp.reduce(fwd[:, i - 1, :, None] + self.move, axis=1) + s[:, i]
+                bwd[:, -1] = self.move[:, OUT]
                 for i in range(n - 2, -1, -1):
-                    bwd[i] = np.logaddexp.reduce(self.move + (s[i + 1] + bwd[i + 1])[None, :], axis=1)
-                z = np.logaddexp.reduce(fwd[-1] + bwd[-1])
-                p = np.exp(fwd + bwd - z)
-                for i, f in enumerate(run):
-                    g = -p[i]
-                    g[tags[i]] += 1
-                    self.emit[f] += rate * (g - decay * self.emit[f])
-                    if i:
-                        e = np.exp(np.minimum(fwd[i - 1][:, None] + self.move + (s[i] + bwd[i])[None, :] - z, 0))
-                        self.move -= rate * e
-                        self.move[tags[i - 1], tags[i]] += rate
-            self.move[OUT, INSIDE] = -1e9
+                    bwd[:, i] = np.logaddexp.reduce(self.move + (s[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
+                z = np.logaddexp.reduce(fwd[:, -1] + bwd[:, -1], axis=1)
+                p = np.exp(fwd + bwd - z[:, None, None])
+                g = (np.eye(3)[tags] - p) * there[:, :, None]
+                flat = x.ravel()
+                up = np.stack([np.bincount(flat, weights=np.repeat(g[:, :, c].ravel(), x.shape[2]), minlength=N_FEATURES) for c in range(3)], axis=1) / w - decay / 10 * self.emit
+                e = np.exp(np.minimum(fwd[:, :-1, :, None] + self.move + (s[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None], 0))
+                pairs = np.bincount((tags[:, :-1] * 3 + tags[:, 1:])[there[:, 1:]], minlength=9).reshape(3, 3)
+                up_m = ((pairs - (e * there[:, 1:, None, None]).sum(axis=(0, 1))) / w - decay * np.maximum(self.move, -50)) * may
+                steps += 1
+                for value, a, b, u in ((self.emit, first, second, up), (self.move, first_m, second_m, up_m)):
+                    a += 0.1 * (u - a)
+                    b += 0.01 * (u * u - b)
+                    value += rate * (a / (1 - 0.9**steps)) / (np.sqrt(b / (1 - 0.99**steps)) + 1e-6)
+                self.move[OUT, INSIDE] = -1e9
         return self
 
 
-def train(docs: DataFrame, max_docs: int = 3000) -> Field:
-    """Fits the field on at most max_docs documents, chosen by a hash of the id; of rows that share an id, on one."""
+def lessons(text: str, seed: int, most: int, kinds: tuple[str, ...] = MADE, reader: Reader | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Training windows of one document: at most `most` of its own, those with secrets first, then by a seeded draw; and generated ones."""
+    rng, reader = np.random.default_rng(seed), reader or Reader()
+    own = windows(text, secret_values(text), reader)
+    draw = rng.permutation(len(own))
+    out = [own[i] for i in sorted(range(len(own)), key=lambda i: (not own[i][2].any(), draw[i]))[:most]]
+    for kind in (kinds[rng.integers(len(kinds))], "benign", "benign") if kinds else ():
+        whole, spans = planted(text, kind, rng)
+        out += windows(whole, spans, reader)
+    return out
+
+
+def train(docs: DataFrame, max_docs: int = 3000, max_windows: int = 6, kinds: tuple[str, ...] = MADE) -> Field:
+    """Fits the field on at most max_docs documents, chosen by a hash of the id, and max_windows windows of each; of rows that share an id, on one."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(ids), "doc_id").where(F.col("text").rlike("[0-9]"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(ids), "doc_id").where(F.length("text") > 0)
     rows = one_of_each_id(rows, "text")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for batch in batches:
-            ids, made = [], []
+            ids, found = [], []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for n, (f, tags) in enumerate(tagged(t)):
+                for n, (f, gap, tags) in enumerate(lessons(t, zlib.crc32(str(i).encode()), max_windows, kinds, reader)):
                     ids.append(i)
-                    made.append({"n": n, "f": f, "tags": tags})
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.struct([("n", pa.int32()), ("f", pa.list_(pa.list_(pa.int32()))), ("tags", pa.list_(pa.int32()))]))], names=["doc_id", "run"])
+                    found.append({"n": n, "f": f.ravel().tolist(), "gap": gap.tolist(), "tags": tags.tolist()})
+            run = pa.struct([("n", pa.int32()), ("f", pa.list_(pa.int16())), ("gap", pa.list_(pa.bool_())), ("tags", pa.list_(pa.int32()))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, run)], names=["doc_id", "run"])
+
+    got = rows.mapInArrow(runs, "doc_id bigint, run struct<n:int, f:array<smallint>, gap:array<boolean>, tags:array<int>>").select("doc_id", "run.*").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("n", "ascending")])
+    return Field().fit(both_ways([(np.array(f.values).reshape(len(t), -1), np.array(g.values.to_pylist(), dtype=bool), np.array(t.values)) for f, g, t in zip(got["f"], got["gap"], got["tags"], strict=True)]))
+
 
-    got = rows.mapInArrow(runs, "doc_id bigint, run struct<n:int, f:array<array<int>>, tags:array<int>>").collect()
-    data = sorted(((zlib.crc32(str((r["doc_id"], r["run"]["n"])).encode()), r["run"]["f"], r["run"]["tags"]) for r in got), key=repr)
-    return Field().fit([(f, t) for _, f, t in data])
+def added(text: str, base: list[tuple[int, int, int]], model: Field, reader: Reader) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of what the field tags in a text and no span of the fixed patterns touches."""
+    x, gap, start, end = reader.read(text)
+    if not len(x):
+        return []
+    tags = model.whole(x, gap)
+    first = np.flatnonzero(tags == BEGIN)
+    last = np.flatnonzero((tags != OUT) & (np.append(tags[1:], OUT) != INSIDE))
+    starts, reach = [s[0] for s in base], np.maximum.accumulate([0, *(s[2] for s in base)])
+    return [(a, 3, z) for a, z in zip(start[first].tolist(), end[last].tolist(), strict=True) if reach[bisect_left(starts, z)] <= a]
 
 
 def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """One row for each row of docs: doc_id and spans array<struct<kind, start, end>>, ends exclusive, in code points.
 
     Spans of the fixed patterns always stay; the field adds spans that overlap none of them.
-    Null and empty texts have no spans; repeated rows get the same answer; a null doc_id is allowed.
+    Null and empty texts have no spans; repeated rows get the same answer; a null doc_id is allowed; texts of any
+    length are decoded whole; of tags that score alike the earlier of outside, begin, inside is taken.
     """
     field = field or train(docs)
     emit, move = field.emit, field.move
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Field(emit, move.copy())
+        model, reader = Field(emit, move.copy()), Reader()
         for batch in batches:
             out = []
             for t in batch.column("text").to_pylist():
-                spans = base_spans(t) if t else []
-                lines = t.count("\n") + 1 if t else 1
-                if t:
-                    for run in token_runs(t):
-                        tags = model.decode([features(t, a, z, lines) for a, z in run])
-                        for i, (a, z) in enumerate(run):
-                            if tags[i] == BEGIN:
-                                j = i
-                                while j + 1 < len(run) and tags[j + 1] == INSIDE:
-                                    j += 1
-                                z = run[j][1]
-                                if not any(s[0] < z and a < s[2] for s in spans):
-                                    spans.append((a, 3, z))
-                out.append([{"kind": KINDS[k], "start": a, "end": z} for a, k, z in sorted(spans)])
+                base = base_spans(t) if t else []
+                spans = sorted(base + added(t, base, model, reader)) if t else base
+                out.append([{"kind": KINDS[k], "start": a, "end": z} for a, k, z in spans])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
