@@ -33,7 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
 #: Tokens that name a credential, in a few languages.
-NAMES = re.compile(r"(?i:passw|passphrase|secret|token|key|pwd|credential|bearer|auth|clave|contrase|passe)")
+NAMES = re.compile(r"passw|passphrase|secret|token|key|pwd|credential|bearer|auth|clave|contrase|passe")
 PIECE = re.compile(r"\s+|[^\W_]+|[\W_]")
 KINDS = ("assign", "access", "hex", "crf")
 OUT, BEGIN, INSIDE = range(3)
@@ -80,37 +80,51 @@ def look(n: int, forms: str, digits: int, upper: int, vowels: int, hexed: bool)
 
 def seen_of(token: str) -> list[int]:
     """Features of a token by itself, a hash of what it is to its neighbours, and its counts of digits, capitals and characters, whether it names a credential, whether it is white space."""
-    n, head = len(token), token[:64]
+    n, head, low = len(token), token[:64], token.lower()
     alpha = token.isalpha()
-    if alpha and token.islower():
+    if alpha and low == token:
         digits = upper = 0
         forms = "a"
     else:
-        digits, upper, forms = sum(map(str.isdigit, token)), sum(map(str.isupper, token)), head.translate(SHAPES)
+        shaped = token.translate(SHAPES)
+        digits, upper, forms = shaped.count("9"), shaped.count("A"), shaped[:64]
     own = look(n, forms, digits, upper, len(head) - len(head.translate(VOWELS)), not token.strip("0123456789abcdefABCDEF"))
-    word = token.lower()[:14] if alpha else token if n == 1 else "9" if digits == n else "mixed"
+    word = low[:14] if alpha else token if n == 1 else "9" if digits == n else "mixed"
     h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    return [*own, h % N_FEATURES, h >> 1, digits, upper, n, int(alpha and 2 < n < 32 and NAMES.search(token) is not None), int(token.isspace())]
+    return [*own, h % N_FEATURES, h >> 1, digits, upper, n, int(alpha and 2 < n < 32 and NAMES.search(low) is not None), int(token.isspace())]
+
+
+class Numbers(dict):
+    """Numbers keys in the order they are first asked for; fresh are those not yet described."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        self[key] = n = len(self)
+        return n
 
 
 class Reader:
     """Turns texts into token features; remembers what tokens look like."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.rows = np.zeros((1024, OWN + 6), dtype=np.int32)
 
     def look_up(self, pieces: list[str]) -> np.ndarray:
         if len(self.number) > REMEMBERED:
             self.number.clear()
         number, old = self.number, len(self.number)
-        new = [p for p in {*pieces} if p not in number]
-        if new:
-            number.update(zip(new, range(old, old + len(new)), strict=True))
+        at = np.fromiter(map(number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        if len(number) > old:
             while len(self.rows) < len(number):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[old:len(number)] = [seen_of(p) for p in new]
-        return self.rows[np.fromiter(map(number.__getitem__, pieces), dtype=np.int64, count=len(pieces))]
+            self.rows[old:len(number)] = [seen_of(p) for p in number.fresh]
+            number.fresh.clear()
+        return self.rows[at]
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Features (token x column), whether white space or the text's start is before a token, and start and end of each token."""
