@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -130,6 +131,15 @@ def test_lines_of_scattered_edits_reach_the_edit_test(spark):
     assert 40 < sum(r["want"] for r in got) < len(got)
 
 
+def test_trigrams_cost_in_proportion_to_the_line(spark):
+    """The characters of a line are split once, not once for each place: 40,000 took minutes."""
+    line = "".join(chr(97 + int(x)) for x in np.random.default_rng(4).integers(0, 3, 40_000))
+    began = time.monotonic()
+    short, long = (r["g"] for r in spark.createDataFrame([(line[:40],), (line,)], "x string").select(line_dedup.trigrams(F.col("x")).alias("g")).collect())
+    assert time.monotonic() - began < 20
+    assert len(short) == len({line[i:i + 3] for i in range(38)}) and len(long) == len({line[i:i + 3] for i in range(len(line) - 2)})
+
+
 def test_line_dedup_of_short_and_unspaced_lines(spark):
     rng = np.random.default_rng(9)
     long = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 3000, 200))
