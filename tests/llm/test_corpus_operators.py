@@ -576,3 +576,26 @@ def test_rules_sample_ids_and_not_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in ids] + [(1000 + i, 0) for i in range(30)], "doc_id long, quality int")
     out = rules.judge(table(spark, rows), labels, max_sample=150).collect()
     assert len(out) == len(rows) and len({r["anomaly"] for r in out}) > 1
+
+
+def test_rules_learn_from_all_rows(spark):
+    """Quantiles and tree counts are those of all rows, and bad rows outside any sample of ids set the threshold."""
+    rng = np.random.default_rng(6)
+    x = np.round(np.hstack([rng.exponential(size=(3000, 2)), rng.random((3000, 1)) < 0.02]), 3)
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+    ranges, want = rules.UsualRanges.of_all(df, 0.999), rules.UsualRanges(x, 0.999)
+    assert np.allclose(ranges.middle, want.middle, rtol=0, atol=1e-12) and np.allclose(ranges.reach, want.reach, rtol=0, atol=1e-12)
+    forest = rules.Forest.of_all(df.groupBy(F.col("x").alias("e")).agg(F.count(F.lit(1)).alias("n")), trees=5)
+    assert forest.size == 3000
+    for tree in range(5):
+        at, length, level = forest.leaves(tree, x), forest.trees[tree][3], {0: 0}
+        for node, down in enumerate(forest.trees[tree][2]):
+            level |= {down: level[node] + 1, down + 1: level[node] + 1} if down >= 0 else {}
+        assert all(np.isclose(length[n], level[n] + rules.average_path(int((at == n).sum()))) for n in np.unique(at))
+    # More labelled ids than the 10,000 that were learned from before; the few bad ones have hashes behind them.
+    ids = [r["id"] for r in spark.range(12_000).orderBy(F.xxhash64("id"), "id").collect()]
+    good = [prose(i, 30) for i in range(50)]
+    rows = [(i, good[k % 50] if k < 11_900 else f"{'$$$ ### ' * 30}{good[k % 50]}", "a") for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, int(k < 11_900)) for k, i in enumerate(ids)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in rules.judge(table(spark, rows), labels).where("kept").collect()}
+    assert kept == set(ids[:11_900])
