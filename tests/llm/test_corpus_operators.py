@@ -306,6 +306,22 @@ def test_viterbi_is_the_best_path():
     assert tuple(f.decode(run)) == max(itertools.product(range(3), repeat=5), key=value)
 
 
+def test_stretches_are_decoded_together_as_one_by_one():
+    """Stretches of a text take their Viterbi steps together; each has the path it has alone, ties included."""
+    rng = np.random.default_rng(12)
+    for values in (rng.normal(size=(400, 3)), rng.integers(0, 2, (400, 3)).astype(float)):
+        field = secrets.Field(move=rng.integers(-1, 2, (3, 3)).astype(float))
+        size = rng.choice([1, 1, 1, 2, 3, 17], 60)
+        first = np.cumsum(size + 1) - size - 1
+        tags = np.full(400, 9)
+        field.paths(values, first, size, tags)
+        want = np.full(400, 9)
+        for a, n in zip(first, size, strict=True):
+            want[a:a + n] = field.best(values[a:a + n])
+        assert (tags == want).all()
+    field.paths(values, first[:0], size[:0], tags)
+
+
 def test_field_learns_its_tags():
     texts = [f'say token = "{hashlib.sha1(str(i).encode()).hexdigest()}" or order abc-{i}2345-def-x' for i in range(60)]
     data = [x for t in texts for x in secrets.tagged(t)]

@@ -31,17 +31,18 @@ from .quality import one_of_each_id
 ASSIGN = re.compile(r"(?a:(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
+KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: Tokens that name a credential, in a few languages.
-NAMES = re.compile(r"passw|passphrase|secret|token|key|pwd|credential|bearer|auth|clave|contrase|passe")
+NAMES = ("secret", "token", "key", "pwd", "credential", "bearer", "auth", "clave", "contrase")
+PASS_NAMES = ("passw", "passphrase", "passe")
 PIECE = re.compile(r"\s+|[^\W_]+|[\W_]")
 KINDS = ("assign", "access", "hex", "crf")
 OUT, BEGIN, INSIDE = range(3)
 N_FEATURES = 1 << 14
 #: Tokens in a training window, and how far before a token a name of a credential counts.
 WINDOW, REACH = 16, 6
-#: Tokens scored at once, and tokens whose features are remembered.
-BLOCK, REMEMBERED = 1 << 15, 1 << 17
+#: Tokens whose features are remembered.
+REMEMBERED = 1 << 17
 #: Columns of the features, by what they see: the token itself, then its neighbours, then its stretch and file.
 OWN, AROUND, WIDER = 8, 4, 5
 
@@ -49,7 +50,8 @@ OWN, AROUND, WIDER = 8, 4, 5
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, leftmost and non-overlapping for each kind."""
     found = []
-    if KEYWORD.search(text):
+    low = text.lower()
+    if any(name in low for name in KEYWORDS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
@@ -68,6 +70,17 @@ VOWELS = str.maketrans("", "", "aeiouyäöüáéíóúàèêâîôûAEIOUY")
 SHAPES = str.maketrans(dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A") | dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a") | dict.fromkeys("0123456789", "9"))
 
 
+VOWEL_BYTES = b"aeiouyAEIOUY"
+
+
+def names_secret(low: str) -> bool:
+    """Whether a lower-case word holds a name of a credential."""
+    for name in NAMES:
+        if name in low:
+            return True
+    return "pass" in low and any(name in low for name in PASS_NAMES)
+
+
 @lru_cache(1 << 12)
 def look(n: int, forms: str, digits: int, upper: int, vowels: int, hexed: bool) -> list[int]:
     """Features of a token's shape: length, classes of its first characters, counts."""
@@ -88,10 +101,11 @@ def seen_of(token: str) -> list[int]:
     else:
         shaped = token.translate(SHAPES)
         digits, upper, forms = shaped.count("9"), shaped.count("A"), shaped[:64]
-    own = look(n, forms, digits, upper, len(head) - len(head.translate(VOWELS)), not token.strip("0123456789abcdefABCDEF"))
+    bare = len(head.encode().translate(None, VOWEL_BYTES)) if head.isascii() else len(head.translate(VOWELS))
+    own = look(n, forms, digits, upper, len(head) - bare, not token.strip("0123456789abcdefABCDEF"))
     word = low[:14] if alpha else token if n == 1 else "9" if digits == n else "mixed"
     h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    return [*own, h % N_FEATURES, h >> 1, digits, upper, n, int(alpha and 2 < n < 32 and NAMES.search(low) is not None), int(token.isspace())]
+    return [*own, h % N_FEATURES, h >> 1, digits, upper, n, int(alpha and 2 < n < 32 and names_secret(low)), int(token.isspace())]
 
 
 class Numbers(dict):
@@ -277,8 +291,8 @@ class Field:
     def scores(self, run, gap: np.ndarray | None = None) -> np.ndarray:
         run = np.asarray(run, dtype=np.int64)
         s = np.zeros((len(run), 3))
-        for a in range(0, len(run), BLOCK):
-            s[a:a + BLOCK] = self.emit[run[a:a + BLOCK]].sum(axis=1)
+        for feature in run.T if len(run) else ():
+            s += self.emit.take(feature, axis=0)
         if gap is not None:
             s[gap, INSIDE] = -1e9
         return s
@@ -311,11 +325,29 @@ class Field:
         anew = np.append(np.maximum(s[1:, INSIDE] - s[1:, BEGIN], 0), 0)[:len(s)]
         open_ = np.flatnonzero(s[:, OUT] - s[:, 1:].max(axis=1) <= cost + anew)
         tags = np.zeros(len(s), dtype=np.int64)
-        for part in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-            if len(part):
-                tags[part] = self.best(s[part])
+        begin = np.flatnonzero(np.diff(open_, prepend=-2) > 1)
+        self.paths(s, open_[begin], np.diff(begin, append=len(open_)), tags)
         return tags
 
+    def paths(self, s: np.ndarray, first: np.ndarray, size: np.ndarray, tags: np.ndarray) -> None:
+        """Writes what best gives for each stretch of s, from its first token and its size; all stretches go on step by step together."""
+        if not len(first):
+            return
+        order = np.argsort(-size, kind="stable")
+        first, size = first[order], size[order]
+        going = [int(np.searchsorted(-size, -i, "left")) for i in range(int(size[0]))]  # stretches with a token i
+        back, best = [], s[first] + self.move[OUT]
+        for i in range(1, len(going)):
+            step = best[:going[i], :, None] + self.move
+            back.append(step.argmax(axis=1))
+            best[:going[i]] = step.max(axis=1) + s[first[:going[i]] + i]
+        now = (best + self.move[:, OUT]).argmax(axis=1)
+        tags[first + size - 1] = now
+        for i in range(len(going) - 1, 0, -1):
+            k = going[i]
+            now[:k] = back[i - 1][np.arange(k), now[:k]]
+            tags[first[:k] + i - 1] = now[:k]
+
     def fit(self, data: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.05, decay: float = 1e-3, batch: int = 512) -> Field:
         """Adaptive gradient steps of the log-likelihood by forward-backward, windows of like length together, in an order given by a seed."""
         data = sorted(data, key=lambda d: len(d[2]))
