@@ -131,6 +131,20 @@ def test_lines_of_scattered_edits_reach_the_edit_test(spark):
     assert 40 < sum(r["want"] for r in got) < len(got)
 
 
+def test_frequent_phrases_make_no_candidates(spark):
+    """Lines that only share phrases of many lines were paired by them, in the square of the lines."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 7))
+    phrases = [[word() for _ in range(6)] for _ in range(4)]
+    lines = [" ".join(sum(([*(word() for _ in range(8)), *p] for p in phrases), [])) for _ in range(200)]
+    sketch = line_dedup.sketched_lines(table(spark, [(i, x, "a") for i, x in enumerate(lines)])).select("id", F.explode("sk").alias("bucket")).checkpoint()
+    both = sketch.toDF("a", "bucket").join(sketch.toDF("b", "bucket"), "bucket").where("a < b").groupBy("a", "b").count().where("count > 1")
+    assert both.count() < 40
+    near = [lines[0], lines[0].replace(lines[0].split()[2], "changed"), *lines[1:]]
+    gone = {r["doc_id"]: list(r["gone"]) for r in line_dedup.dedup_lines(table(spark, [(i, x, "a") for i, x in enumerate(near)])).collect()}
+    assert {i for i, x in gone.items() if x} == {1}
+
+
 def test_trigrams_cost_in_proportion_to_the_line(spark):
     """The characters of a line are split once, not once for each place: 40,000 took minutes."""
     line = "".join(chr(97 + int(x)) for x in np.random.default_rng(4).integers(0, 3, 40_000))
