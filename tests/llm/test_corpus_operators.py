@@ -629,3 +629,16 @@ def test_rules_learn_from_all_rows(spark):
     labels = spark.createDataFrame([(i, int(k < 11_900)) for k, i in enumerate(ids)], "doc_id long, quality int")
     kept = {r["doc_id"] for r in rules.judge(table(spark, rows), labels).where("kept").collect()}
     assert kept == set(ids[:11_900])
+
+
+def test_copies_of_frequent_phrases_are_found(spark):
+    """Two lines that share nothing but phrases of many lines: every slot's least rare shingle differs."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 7))
+    phrases = [[word() for _ in range(12)] for _ in range(8)]
+    form = lambda own: " ".join(w for p in phrases for w in (*p[:6], own(), *p[6:], own()))
+    pair = [form(word) for _ in range(2)]
+    assert 5 * edits(*pair) <= len(pair[0])
+    others = [" ".join([*(word() for _ in range(80)), *p]) for p in phrases for _ in range(6)]
+    gone = {r["doc_id"]: list(r["gone"]) for r in line_dedup.dedup_lines(table(spark, [(i, x, "a") for i, x in enumerate([*pair, *others])])).collect()}
+    assert {i for i, x in gone.items() if x} == {1}
