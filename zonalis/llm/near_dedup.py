@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fits_broadcast, load, stored
+from .common import cut, fits_broadcast, load, shuffles_freed, stored
 from .graph import forest_roots, merged
 from .shingles import gram_batches, overlap_batches, signature_batches
 
@@ -161,7 +161,8 @@ def known(hot: DataFrame, tested: DataFrame, sets: DataFrame, docs: DataFrame, h
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are linked with a smaller doc_id, columns unchanged."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct()
+    with shuffles_freed(docs.sparkSession):
+        gone = cut(near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

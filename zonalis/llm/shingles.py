@@ -20,7 +20,7 @@ _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B
 _U = np.uint64
 
 #: Bytes of text that are hashed together, and elements whose signatures are made together.
-CHUNK_BYTES, CHUNK_ITEMS = 1 << 20, 60_000
+CHUNK_BYTES, CHUNK_ITEMS = 1 << 18, 20_000
 
 _powers: dict[int, np.ndarray] = {}
 
