@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
 
 import duckdb
 import numpy as np
 import pytest
 
+from zonalis.operators import surrogate
 from zonalis.operators.neighbours import nearest_neighbor
 from zonalis.plans.catalog import ORACLE, QUERIES
 
@@ -41,3 +43,17 @@ def test_nearest_neighbor_moves_points_in_packs(spark):
     assert written() - before < 20 * x.nbytes
     d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)) + np.diag([np.inf] * len(x))
     assert all(got[i] == (int(d[i].argmin()), pytest.approx(d[i].min(), abs=1e-12)) for i in range(len(x)))
+
+
+def test_fit_of_a_process_holds_one_square_matrix():
+    """Some eight of them took more memory than an executor has."""
+    rng, n = np.random.default_rng(0), 3000
+    x = rng.standard_normal((n, 4))
+    m = surrogate.Chain([x], [np.sin(x).sum(1) + rng.normal(0, 0.1, n)])
+    tracemalloc.start()
+    m.fit(1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 8 * n * n
+    k = m._cov(x, m.level, x, m.level) + np.eye(n) * np.exp(m.noise[0])
+    assert np.allclose(m.alpha, np.linalg.solve(k, m.y), atol=1e-6)
